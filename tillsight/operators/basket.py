@@ -5,27 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.plans import distinct_lines, first_n, ordered_pair_counts
-
-
-def pairs_by_name(pairs: DataFrame, products: DataFrame) -> DataFrame:
-    """Key pairs summed by product names; a key without a product has a NULL name."""
-    first = products.select(F.col("product_key").alias("item_a"), F.col("product_name").alias("product_a"))
-    second = products.select(F.col("product_key").alias("item_b"), F.col("product_name").alias("product_b"))
-    return (
-        pairs.join(first, "item_a", "left")
-        .join(second, "item_b", "left")
-        .groupBy("product_a", "product_b")
-        .agg(F.sum("times").alias("times_bought_together"))
-    )
+from tillsight.plans import distinct_lines, first_n, top_label_pairs
 
 
 def product_affinity(fact: DataFrame, products: DataFrame, n: int = 20, block: int = 512) -> DataFrame:
     """The ``n`` product-name pairs that share most order lines.
 
     Pairs are formed by key, lower key first, and counted by name, so keys that
-    share a name can pair with each other.
+    share a name can pair with each other. Keys without a product have no name.
     """
     lines = distinct_lines(fact, "order_number", "product_key")
-    pairs = ordered_pair_counts(lines, block)
-    return first_n(pairs_by_name(pairs, products), "times_bought_together", n, ["product_a", "product_b"])
+    names = products.select(F.col("product_key").alias("_item"), F.col("product_name").alias("_label"))
+    counted = top_label_pairs(lines, names, n, block).select(
+        F.col("label_a").alias("product_a"),
+        F.col("label_b").alias("product_b"),
+        F.col("times").alias("times_bought_together"),
+    )
+    return first_n(counted, "times_bought_together", n, ["product_a", "product_b"])

@@ -153,7 +153,7 @@ def satisfaction_by_wait_band(visits: DataFrame, cuts: Sequence[float] = (15, 30
     wait = F.col("wait_minutes")
     names = [f"under {cuts[0]}", *[f"{lo} to under {hi}" for lo, hi in zip(cuts, cuts[1:])], f"{cuts[-1]} or more"]
     bands = [(wait < hi, name) for hi, name in zip(cuts, names)] + [(wait >= cuts[-1], names[-1])]
-    position = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("wait_band"))
+    position = F.array_position(F.array(*[F.lit(n) for n in [*names, "unknown"]]), F.col("wait_band"))
     return (
         visits.groupBy(first_matching_band(bands, "unknown").alias("wait_band"))
         .agg(F.count(F.lit(1)).alias("visits"), exact_mean("satisfaction").alias("avg_satisfaction"))

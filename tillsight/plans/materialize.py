@@ -3,24 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the session's checkpoint folder.
+
+    Only a local session that names none gets a folder of its own. On a cluster
+    that is an error, since executors cannot read each other's local folders.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is not None:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return _local_folders.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tillsight-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder the session names and return the stored rows.
+    """Write ``df`` as a Parquet table in the shared folder and return the stored rows.
 
-    The stored copy survives the loss of executors. Only a local session that
-    names no folder gets one of its own; on a cluster that is an error, since a
-    folder of one machine cannot be read by the others.
+    The copy cuts the lineage, survives the loss of executors, is read by column
+    and has a known size, so Spark can choose joins by it. The folder is cleaned
+    like any checkpoint folder, by its owner.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-            folder = tempfile.mkdtemp(prefix="tillsight-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/tillsight-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,10 +1,28 @@
-"""Counts of item pairs that share a group, with bounded work per task."""
+"""Top label pairs among items that share a group, without forming every pair.
+
+Counting the pairs of a group is quadratic in its width, and a group may hold a
+large part of the table. Two things keep the exact answer affordable:
+
+* Only pairs that can still reach the result are formed. The lines that two
+  labels share are at most the product of their strengths (Cauchy-Schwarz over
+  the groups), and the counts among a few strong labels give a floor that the
+  result cannot fall below.
+* The pairs of a wide group are spread over many tasks, each of which meets two
+  blocks of its items.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.plans.materialize import materialize
+
+# Strengths are sums of square roots in double; this covers their rounding.
+_SLACK = 1.000001
+
 
 def distinct_lines(df: DataFrame, group: str, item: str) -> DataFrame:
     """One row per (group, item) with its number of lines, NULL keys left out.
@@ -18,24 +36,26 @@ def distinct_lines(df: DataFrame, group: str, item: str) -> DataFrame:
     )
 
 
-def ordered_pair_counts(lines: DataFrame, block: int = 512) -> DataFrame:
+def ordered_pair_counts(lines: DataFrame, block: int = 512, reachable: Column | None = None) -> DataFrame:
     """Pairs (item_a < item_b) with the number of line pairs they make.
 
     ``lines`` comes from ``distinct_lines``. A pair counts the product of its two
     line counts, which equals counting the joined lines one by one. Groups of up
     to ``block`` items are joined with themselves. A wider group is cut into
     blocks of about that many items, and every combination of two blocks is a
-    join key of its own, so that its pairs are made by many tasks, each from two
-    blocks.
+    join key of its own, so that its pairs are made by many tasks. ``reachable``
+    is a further condition on the columns of both sides, ``a`` and ``b``.
     """
-    widths = lines.groupBy("_group").agg(F.count(F.lit(1)).alias("_width")).filter(F.col("_width") > block)
-    wide = widths.select(
-        F.col("_group").alias("_wide_group"), F.ceil(F.col("_width") / F.lit(block)).cast("int").alias("_blocks")
+    wide = (
+        lines.groupBy(F.col("_group").alias("_wide_group"))
+        .agg(F.count(F.lit(1)).alias("_width"))
+        .filter(F.col("_width") > block)
+        .select("_wide_group", F.ceil(F.col("_width") / F.lit(block)).cast("int").alias("_blocks"))
     )
     in_wide_group = F.col("_group") == F.col("_wide_group")
 
     narrow = lines.join(wide, in_wide_group, "left_anti")
-    narrow_pairs = _pairs(narrow, narrow, ["_group"])
+    narrow_pairs = _pairs(narrow, narrow, ["_group"], reachable)
 
     cut = (
         lines.join(wide, in_wide_group, "inner")
@@ -45,21 +65,96 @@ def ordered_pair_counts(lines: DataFrame, block: int = 512) -> DataFrame:
     every_block = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     as_first = cut.withColumn("_other", every_block).withColumnsRenamed({"_block": "_from", "_other": "_to"})
     as_second = cut.withColumn("_other", every_block).withColumnsRenamed({"_block": "_to", "_other": "_from"})
-    wide_pairs = _pairs(as_first, as_second, ["_group", "_from", "_to"])
+    wide_pairs = _pairs(as_first, as_second, ["_group", "_from", "_to"], reachable)
+
+    return _folded(narrow_pairs.unionByName(wide_pairs))
 
+
+def _folded(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("item_a", "item_b").agg(F.sum("_times").alias("times"))
+
+
+def _pairs(first: DataFrame, second: DataFrame, keys: list[str], reachable: Column | None) -> DataFrame:
+    condition = F.col("a._item") < F.col("b._item")
+    for key in keys:
+        condition = condition & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+    if reachable is not None:
+        condition = condition & reachable
     return (
-        narrow_pairs.unionByName(wide_pairs).groupBy("item_a", "item_b").agg(F.sum("_times").alias("times"))
+        first.alias("a")
+        .join(second.alias("b"), condition, "inner")
+        .select(
+            F.col("a._item").alias("item_a"),
+            F.col("b._item").alias("item_b"),
+            (F.col("a._lines") * F.col("b._lines")).alias("_times"),
+        )
     )
 
 
-def _pairs(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    a, b = first.alias("a"), second.alias("b")
-    same_group = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    condition = F.col("a._item") < F.col("b._item")
-    for equal in same_group:
-        condition = equal & condition
-    return a.join(b, condition, "inner").select(
-        F.col("a._item").alias("item_a"),
-        F.col("b._item").alias("item_b"),
-        (F.col("a._lines") * F.col("b._lines")).alias("_times"),
+def label_pair_counts(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Item pairs summed by label; ``labels`` has ``_item`` and ``_label``. No label is a NULL label."""
+    first = labels.select(F.col("_item").alias("item_a"), F.col("_label").alias("label_a"))
+    second = labels.select(F.col("_item").alias("item_b"), F.col("_label").alias("label_b"))
+    return (
+        pairs.join(first, "item_a", "left")
+        .join(second, "item_b", "left")
+        .groupBy("label_a", "label_b")
+        .agg(F.sum("times").alias("times"))
     )
+
+
+def _label_strengths(lines: DataFrame, labels: DataFrame) -> DataFrame:
+    """Items with the strength of their label.
+
+    An item's strength is the root of its summed squared line counts; a label's
+    is the sum over its items, which bounds the label as one vector over groups.
+    """
+    per_item = lines.groupBy("_item").agg(
+        F.sqrt(F.sum(F.col("_lines").cast("double") * F.col("_lines"))).alias("_own")
+    )
+    labelled = materialize(per_item.join(labels, "_item", "left"))
+    per_label = labelled.groupBy(F.col("_label").alias("_strong")).agg((F.sum("_own") * _SLACK).alias("_strength"))
+    matched = labelled.join(per_label, F.col("_label").eqNullSafe(F.col("_strong")), "inner")
+    return materialize(matched.select("_item", "_label", "_strength"))
+
+
+def top_label_pairs(
+    lines: DataFrame, labels: DataFrame, n: int, block: int = 512, direct_pairs_per_line: float = 32
+) -> DataFrame:
+    """Counts of label pairs, complete for all pairs that can be among the ``n`` largest.
+
+    Ties with the n-th count are included, so that the caller can settle them.
+    As long as the groups make at most ``direct_pairs_per_line`` pairs per line on
+    average, forming all pairs is linear work and nothing else is needed.
+    """
+    lines = materialize(lines)
+    width = F.col("_width").cast("double")
+    volume = (
+        lines.groupBy("_group")
+        .agg(F.count(F.lit(1)).alias("_width"))
+        .agg(F.sum(width * (width - 1) / 2).alias("pairs"), F.sum("_width").alias("lines"), F.max("_width").alias("widest"))
+        .first()
+    )
+    if volume["lines"] is None or volume["pairs"] <= direct_pairs_per_line * volume["lines"]:
+        all_narrow = (volume["widest"] or 0) <= block
+        pairs = _folded(_pairs(lines, lines, ["_group"], None)) if all_narrow else ordered_pair_counts(lines, block)
+        return label_pair_counts(pairs, labels)
+
+    items = _label_strengths(lines, labels)
+    per_label = items.groupBy("_label").agg(F.max("_strength").alias("_strength"))
+    # the n-th count among a few strong labels: the n-th result is at least this
+    few = 2 * math.ceil(math.sqrt(2 * n)) + 2
+    strongest = per_label.orderBy(F.desc("_strength"), "_label").limit(few).collect()
+    names = [r["_label"] for r in strongest]
+    chosen = F.col("_label").isin([name for name in names if name is not None])
+    if None in names:
+        chosen = F.coalesce(chosen, F.lit(True))
+    strong = items.filter(chosen).select("_item")
+    sample = label_pair_counts(ordered_pair_counts(lines.join(strong, "_item", "left_semi"), block), labels)
+    best = [r["times"] for r in sample.orderBy(F.desc("times")).limit(n).select("times").collect()]
+    floor = float(best[-1]) if len(best) == n else 0.0
+
+    candidates = items.filter(F.col("_strength") * strongest[0]["_strength"] >= floor).select("_item", "_strength")
+    reachable = F.col("a._strength") * F.col("b._strength") >= floor
+    pairs = ordered_pair_counts(lines.join(candidates, "_item", "inner"), block, reachable)
+    return label_pair_counts(pairs, labels)
