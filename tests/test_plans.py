@@ -120,10 +120,13 @@ NAMES = {i: f"n{i % 29}" for i in range(1, 41)}  # some keys share a name, 99 ha
 
 @pytest.mark.parametrize("hot", [0, 300])
 @pytest.mark.parametrize("block", [4, 512])
-def test_pair_counts_match_brute_force(spark, hot, block):
+@pytest.mark.parametrize("per_task", [50, 10**6])
+def test_pair_counts_match_brute_force(spark, monkeypatch, hot, block, per_task):
+    monkeypatch.setattr("tillsight.plans.pairs._PAIRS_PER_TASK", per_task)
     lines = basket_lines(1, hot)
     df = plans.distinct_lines(spark.createDataFrame(lines, "g string, i long"), "g", "i")
-    got = {(r["item_a"], r["item_b"]): r["times"] for r in plans.ordered_pair_counts(df, block).collect()}
+    df = df.withColumn("_label", F.col("_item"))
+    got = {(r["label_a"], r["label_b"]): r["times"] for r in plans.pair_counts(df, block).collect()}
     assert got == dict(brute_pairs(lines, {i: i for i in range(100)}))
 
 

@@ -2,7 +2,7 @@
 
 from tillsight.plans.eager import counts_by_key, match_key, roll_up
 from tillsight.plans.materialize import materialize
-from tillsight.plans.pairs import distinct_lines, ordered_pair_counts, top_label_pairs
+from tillsight.plans.pairs import distinct_lines, pair_counts, top_label_pairs
 from tillsight.plans.ranks import dense_rank_top, first_n, share_of_total
 from tillsight.plans.tiles import exact_tiles
 
@@ -14,7 +14,7 @@ __all__ = [
     "first_n",
     "match_key",
     "materialize",
-    "ordered_pair_counts",
+    "pair_counts",
     "roll_up",
     "share_of_total",
     "top_label_pairs",

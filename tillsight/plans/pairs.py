@@ -1,8 +1,10 @@
 """Top label pairs among items that share a group, without forming every pair.
 
 Counting the pairs of a group is quadratic in its width, and a group may hold a
-large part of the table. Two things keep the exact answer affordable:
+large part of the table. Three things keep the exact answer affordable:
 
+* Pairs are counted by label as soon as they are formed, so they leave a task
+  folded. Labels travel as numbers, not as text.
 * Only pairs that can still reach the result are formed. The lines that two
   labels share are at most the product of their strengths (Cauchy-Schwarz over
   the groups), and the counts among a few strong labels give a floor that the
@@ -15,14 +17,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tillsight.plans.materialize import materialize
 
-# Strengths are sums of square roots in double; this covers their rounding.
+# Strengths are square roots in double; this covers their rounding.
 _SLACK = 1.000001
 
+# Pairs that one task is meant to form.
+_PAIRS_PER_TASK = 5_000_000
+
 
 def distinct_lines(df: DataFrame, group: str, item: str) -> DataFrame:
     """One row per (group, item) with its number of lines, NULL keys left out.
@@ -36,42 +41,79 @@ def distinct_lines(df: DataFrame, group: str, item: str) -> DataFrame:
     )
 
 
-def ordered_pair_counts(lines: DataFrame, block: int = 512, reachable: Column | None = None) -> DataFrame:
-    """Pairs (item_a < item_b) with the number of line pairs they make.
+def _widths(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("_group").agg(F.count(F.lit(1)).alias("_width"))
+
+
+def pair_volume(lines: DataFrame, block: int = 512) -> Row:
+    """How many item pairs the groups make: in wide groups, in narrow ones, and the number of lines."""
+    width = F.col("_width").cast("double")
+    is_wide = F.col("_width") > block
+    pairs = width * (width - 1) / 2
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0.0))
+
+    return (
+        _widths(lines)
+        .agg(
+            total(F.when(is_wide, pairs)).alias("wide"),
+            total(F.when(~is_wide, pairs)).alias("narrow"),
+            total(width).alias("lines"),
+        )
+        .first()
+    )
 
-    ``lines`` comes from ``distinct_lines``. A pair counts the product of its two
-    line counts, which equals counting the joined lines one by one. Groups of up
-    to ``block`` items are joined with themselves. A wider group is cut into
-    blocks of about that many items, and every combination of two blocks is a
-    join key of its own, so that its pairs are made by many tasks. ``reachable``
-    is a further condition on the columns of both sides, ``a`` and ``b``.
+
+def pair_counts(
+    lines: DataFrame, block: int = 512, volume: Row | None = None, reachable: Column | None = None
+) -> DataFrame:
+    """Line pairs per pair of labels (label_a, label_b, times), the lower item being a.
+
+    ``lines`` is ``distinct_lines`` with a column ``_label``, possibly NULL. A
+    pair of items counts the product of its line counts, which equals counting
+    the joined lines one by one. Groups of up to ``block`` items are joined with
+    themselves. A wider group is cut into blocks of about that many items, and
+    every combination of two blocks is a join key of its own. ``volume`` is the
+    lines' ``pair_volume`` where it is known, ``reachable`` a further condition
+    on the columns of both sides, ``a`` and ``b``.
     """
-    wide = (
-        lines.groupBy(F.col("_group").alias("_wide_group"))
-        .agg(F.count(F.lit(1)).alias("_width"))
-        .filter(F.col("_width") > block)
-        .select("_wide_group", F.ceil(F.col("_width") / F.lit(block)).cast("int").alias("_blocks"))
+    volume = volume or pair_volume(lines, block)
+    if not volume["wide"]:
+        return _folded(_narrow_pairs(lines, volume["narrow"], reachable))
+
+    wide = _widths(lines).filter(F.col("_width") > block).select(
+        F.col("_group").alias("_wide_group"), F.ceil(F.col("_width") / F.lit(block)).cast("int").alias("_blocks")
     )
     in_wide_group = F.col("_group") == F.col("_wide_group")
-
     narrow = lines.join(wide, in_wide_group, "left_anti")
-    narrow_pairs = _pairs(narrow, narrow, ["_group"], reachable)
-
     cut = (
         lines.join(wide, in_wide_group, "inner")
         .drop("_wide_group")
         .withColumn("_block", F.pmod(F.xxhash64("_item"), F.col("_blocks")).cast("int"))
     )
-    every_block = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    as_first = cut.withColumn("_other", every_block).withColumnsRenamed({"_block": "_from", "_other": "_to"})
-    as_second = cut.withColumn("_other", every_block).withColumnsRenamed({"_block": "_to", "_other": "_from"})
-    wide_pairs = _pairs(as_first, as_second, ["_group", "_from", "_to"], reachable)
+    return _folded(
+        _narrow_pairs(narrow, volume["narrow"], reachable).unionByName(_wide_pairs(cut, volume["wide"], reachable))
+    )
 
-    return _folded(narrow_pairs.unionByName(wide_pairs))
 
+def _narrow_pairs(lines: DataFrame, volume: float, reachable: Column | None) -> DataFrame:
+    spread = _spread(lines, ["_group"], volume)
+    return _pairs(spread, spread, ["_group"], reachable)
 
-def _folded(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("item_a", "item_b").agg(F.sum("_times").alias("times"))
+
+def _wide_pairs(cut: DataFrame, volume: float, reachable: Column | None) -> DataFrame:
+    keys = ["_group", "_from", "_to"]
+    every_block = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    as_first = cut.withColumn("_to", every_block).withColumnRenamed("_block", "_from")
+    as_second = cut.withColumn("_from", every_block).withColumnRenamed("_block", "_to")
+    return _pairs(_spread(as_first, keys, volume), _spread(as_second, keys, volume), keys, reachable)
+
+
+def _spread(df: DataFrame, keys: list[str], volume: float) -> DataFrame:
+    """Partition by the join keys, by the pairs to be formed instead of the bytes to be read."""
+    tasks = min(math.ceil(volume / _PAIRS_PER_TASK), 100_000)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
 
 
 def _pairs(first: DataFrame, second: DataFrame, keys: list[str], reachable: Column | None) -> DataFrame:
@@ -84,38 +126,32 @@ def _pairs(first: DataFrame, second: DataFrame, keys: list[str], reachable: Colu
         first.alias("a")
         .join(second.alias("b"), condition, "inner")
         .select(
-            F.col("a._item").alias("item_a"),
-            F.col("b._item").alias("item_b"),
+            F.col("a._label").alias("label_a"),
+            F.col("b._label").alias("label_b"),
             (F.col("a._lines") * F.col("b._lines")).alias("_times"),
         )
     )
 
 
-def label_pair_counts(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Item pairs summed by label; ``labels`` has ``_item`` and ``_label``. No label is a NULL label."""
-    first = labels.select(F.col("_item").alias("item_a"), F.col("_label").alias("label_a"))
-    second = labels.select(F.col("_item").alias("item_b"), F.col("_label").alias("label_b"))
-    return (
-        pairs.join(first, "item_a", "left")
-        .join(second, "item_b", "left")
-        .groupBy("label_a", "label_b")
-        .agg(F.sum("times").alias("times"))
-    )
+def _folded(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("label_a", "label_b").agg(F.sum("_times").alias("times"))
 
 
-def _label_strengths(lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """Items with the strength of their label.
+def _label_numbers(labels: DataFrame) -> DataFrame:
+    """Items with the smallest item of their label, which stands for the label."""
+    named = labels.filter(F.col("_label").isNotNull())
+    lowest = named.groupBy("_label").agg(F.min("_item").alias("_number"))
+    return named.join(lowest, "_label", "inner").select("_item", F.col("_number").alias("_label"))
 
-    An item's strength is the root of its summed squared line counts; a label's
-    is the sum over its items, which bounds the label as one vector over groups.
-    """
-    per_item = lines.groupBy("_item").agg(
-        F.sqrt(F.sum(F.col("_lines").cast("double") * F.col("_lines"))).alias("_own")
+
+def _named(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    a = labels.select(F.col("_item").alias("label_a"), F.col("_label").alias("_name_a"))
+    b = labels.select(F.col("_item").alias("label_b"), F.col("_label").alias("_name_b"))
+    return (
+        counts.join(a, "label_a", "left")
+        .join(b, "label_b", "left")
+        .select(F.col("_name_a").alias("label_a"), F.col("_name_b").alias("label_b"), "times")
     )
-    labelled = materialize(per_item.join(labels, "_item", "left"))
-    per_label = labelled.groupBy(F.col("_label").alias("_strong")).agg((F.sum("_own") * _SLACK).alias("_strength"))
-    matched = labelled.join(per_label, F.col("_label").eqNullSafe(F.col("_strong")), "inner")
-    return materialize(matched.select("_item", "_label", "_strength"))
 
 
 def top_label_pairs(
@@ -123,38 +159,40 @@ def top_label_pairs(
 ) -> DataFrame:
     """Counts of label pairs, complete for all pairs that can be among the ``n`` largest.
 
-    Ties with the n-th count are included, so that the caller can settle them.
-    As long as the groups make at most ``direct_pairs_per_line`` pairs per line on
-    average, forming all pairs is linear work and nothing else is needed.
+    ``labels`` has ``_item``, unique, and ``_label``; items without one share the
+    NULL label. Ties with the n-th count are included, so that the caller can
+    settle them. While the groups make at most ``direct_pairs_per_line`` pairs
+    per line on average, forming all pairs is linear work and nothing is pruned.
     """
-    lines = materialize(lines)
-    width = F.col("_width").cast("double")
-    volume = (
-        lines.groupBy("_group")
-        .agg(F.count(F.lit(1)).alias("_width"))
-        .agg(F.sum(width * (width - 1) / 2).alias("pairs"), F.sum("_width").alias("lines"), F.max("_width").alias("widest"))
-        .first()
-    )
-    if volume["lines"] is None or volume["pairs"] <= direct_pairs_per_line * volume["lines"]:
-        all_narrow = (volume["widest"] or 0) <= block
-        pairs = _folded(_pairs(lines, lines, ["_group"], None)) if all_narrow else ordered_pair_counts(lines, block)
-        return label_pair_counts(pairs, labels)
+    lines = materialize(lines.join(_label_numbers(labels), "_item", "left"))
+    volume = pair_volume(lines, block)
+    if volume["wide"] + volume["narrow"] <= direct_pairs_per_line * volume["lines"]:
+        return _named(pair_counts(lines, block, volume), labels)
 
-    items = _label_strengths(lines, labels)
-    per_label = items.groupBy("_label").agg(F.max("_strength").alias("_strength"))
+    strengths = _strengths(lines)
     # the n-th count among a few strong labels: the n-th result is at least this
     few = 2 * math.ceil(math.sqrt(2 * n)) + 2
-    strongest = per_label.orderBy(F.desc("_strength"), "_label").limit(few).collect()
-    names = [r["_label"] for r in strongest]
-    chosen = F.col("_label").isin([name for name in names if name is not None])
-    if None in names:
-        chosen = F.coalesce(chosen, F.lit(True))
-    strong = items.filter(chosen).select("_item")
-    sample = label_pair_counts(ordered_pair_counts(lines.join(strong, "_item", "left_semi"), block), labels)
+    strongest = strengths.orderBy(F.desc("_strength"), "_strong").limit(few).collect()
+    sample = pair_counts(lines.filter(_one_of("_label", [r["_strong"] for r in strongest])), block)
     best = [r["times"] for r in sample.orderBy(F.desc("times")).limit(n).select("times").collect()]
     floor = float(best[-1]) if len(best) == n else 0.0
 
-    candidates = items.filter(F.col("_strength") * strongest[0]["_strength"] >= floor).select("_item", "_strength")
+    able = strengths.filter(F.col("_strength") * strongest[0]["_strength"] >= floor)
+    candidates = lines.join(able, F.col("_label").eqNullSafe(F.col("_strong")), "inner").drop("_strong")
     reachable = F.col("a._strength") * F.col("b._strength") >= floor
-    pairs = ordered_pair_counts(lines.join(candidates, "_item", "inner"), block, reachable)
-    return label_pair_counts(pairs, labels)
+    return _named(pair_counts(candidates, block, reachable=reachable), labels)
+
+
+def _strengths(lines: DataFrame) -> DataFrame:
+    """Per label the length of its vector of line counts over the groups."""
+    shared = lines.groupBy("_group", "_label").agg(F.sum("_lines").cast("double").alias("_n"))
+    return materialize(
+        shared.groupBy(F.col("_label").alias("_strong")).agg(
+            (F.sqrt(F.sum(F.col("_n") * F.col("_n"))) * _SLACK).alias("_strength")
+        )
+    )
+
+
+def _one_of(column: str, values: list) -> Column:
+    chosen = F.col(column).isin([v for v in values if v is not None])
+    return F.coalesce(chosen, F.lit(None in values))
