@@ -51,12 +51,15 @@ def _on(*names: str) -> Callable[[Callable[..., DataFrame]], Query]:
 
 _fact = _on("fact_sales")
 _customers = _on("dim_customers")
+_people = _on("dim_customers_without_country")
 _products = _on("dim_products")
 _fact_customers = _on("fact_sales", "dim_customers")
+_fact_people = _on("fact_sales", "dim_customers_without_country")
 _fact_products = _on("fact_sales", "dim_products")
 _lines = _on("pizza_sales")
 _visits = _on("er_visits")
 _food = _on("food_orders")
+_orders = _on("food_orders_without_place")
 
 
 def _table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +77,7 @@ def _column_profile_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _measure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploration.measure_summary(
         tables.fact_sales(spark, sf_dir, with_price=True),
-        tables.dim_customers(spark, sf_dir),
+        tables.dim_customers_without_country(spark, sf_dir),
         tables.dim_products(spark, sf_dir),
     )
 
@@ -131,7 +134,7 @@ def queries() -> dict[str, Query]:
         "dq_bad_amounts": _fact(
             lambda f: quality.non_positive_count(f, ["sales_amount", "quantity"], "bad_sales_records")
         ),
-        "dq_customers_no_orders": _fact_customers(
+        "dq_customers_no_orders": _fact_people(
             lambda f, c: quality.unmatched_count(c, f, "customer_key", "customers_with_no_orders")
         ),
         "dq_sales_no_product": _fact_products(
@@ -143,20 +146,20 @@ def queries() -> dict[str, Query]:
             lambda p: exploration.distinct_values(p, ["category", "subcategory", "product_name"])
         ),
         "date_coverage": _fact(exploration.date_coverage),
-        "age_extremes": _customers(lambda c: exploration.age_extremes(c, AS_OF)),
+        "age_extremes": _people(lambda c: exploration.age_extremes(c, AS_OF)),
         "measure_summary": _measure_summary,
         "customers_by_country": _customers(lambda c: exploration.customers_by(c, "country")),
-        "customers_by_gender": _customers(lambda c: exploration.customers_by(c, "gender")),
+        "customers_by_gender": _people(lambda c: exploration.customers_by(c, "gender")),
         "products_by_category": _products(lambda p: exploration.products_by(p, "category")),
         "avg_cost_by_category": _products(exploration.avg_cost_by),
         "revenue_share_by_category": _fact_products(exploration.revenue_share_by_category),
-        "revenue_per_customer": _fact_customers(exploration.revenue_per_customer),
+        "revenue_per_customer": _fact_people(exploration.revenue_per_customer),
         "quantity_by_country": _fact_customers(exploration.quantity_by_country),
         # rankings with ties
         "top_products": _fact_products(ranking.top_products),
         "bottom_products": _fact_products(ranking.bottom_products),
-        "top_customers": _fact_customers(ranking.top_customers),
-        "bottom_customers_by_orders": _fact_customers(ranking.bottom_customers_by_orders),
+        "top_customers": _fact_people(ranking.top_customers),
+        "bottom_customers_by_orders": _fact_people(ranking.bottom_customers_by_orders),
         # time series and segments
         "monthly_sales": _fact(timeseries.monthly_sales),
         "running_total_moving_avg": _fact(timeseries.running_and_moving),
@@ -168,7 +171,7 @@ def queries() -> dict[str, Query]:
             lambda f: segments.customer_segments(f, vip_spend=VIP_SPEND, tenure_avg="mean")
         ),
         "rfm": _fact(lambda f: segments.rfm(f, AS_OF)),
-        "report_customers": _fact_customers(lambda f, c: reports.report_customers(f, c, AS_OF, vip_spend=VIP_SPEND)),
+        "report_customers": _fact_people(lambda f, c: reports.report_customers(f, c, AS_OF, vip_spend=VIP_SPEND)),
         "report_products": _fact_products(
             lambda f, p: reports.report_products(f, p, AS_OF, high=HIGH_SALES, mid=MID_SALES)
         ),
@@ -196,10 +199,10 @@ def queries() -> dict[str, Query]:
         # import, model and slicing
         "clean_table": _on("raw_food_orders")(_clean),
         "clean_table_by_key": _on("raw_food_orders")(_clean_by_key),
-        "calendar_table": _food(lambda o: dashboard.calendar_table(o, "order_date")),
+        "calendar_table": _orders(lambda o: dashboard.calendar_table(o, "order_date")),
         "attach_calendar": _fact(_attach_calendar),
         "merge_tables": _fact_customers(_merge_tables),
-        "merge_counts": _fact_customers(lambda f, c: dashboard.merge_counts(f, c, "customer_key")),
+        "merge_counts": _fact_people(lambda f, c: dashboard.merge_counts(f, c, "customer_key")),
         "append_tables": _on("pizza_sales", "food_orders")(_append_tables),
         "apply_slicers": _food(_apply_slicers),
         "pivot_table": _food(
@@ -216,16 +219,16 @@ def queries() -> dict[str, Query]:
         "department_referrals": _visits(dashboard.department_referrals),
         "orders_by_hour": _visits(lambda v: dashboard.orders_by_hour(v, "arrival_ts")),
         # food delivery
-        "food_kpis": _food(dashboard.food_kpis),
-        "sales_trend_day": _food(lambda o: timeseries.sales_trend(o, "day")),
-        "sales_trend_week": _food(lambda o: timeseries.sales_trend(o, "week")),
-        "sales_trend_month": _food(lambda o: timeseries.sales_trend(o, "month")),
+        "food_kpis": _orders(dashboard.food_kpis),
+        "sales_trend_day": _orders(lambda o: timeseries.sales_trend(o, "day")),
+        "sales_trend_week": _orders(lambda o: timeseries.sales_trend(o, "week")),
+        "sales_trend_month": _orders(lambda o: timeseries.sales_trend(o, "month")),
         "sales_by_city": _food(lambda o: dashboard.sales_by_place(o, "city")),
         "sales_by_state": _food(lambda o: dashboard.sales_by_place(o, "state")),
-        "diet_distribution": _food(dashboard.diet_distribution),
+        "diet_distribution": _orders(dashboard.diet_distribution),
         "top_cities": _food(dashboard.top_cities),
-        "weekend_share": _food(dashboard.weekend_share),
-        "weekend_share_fri_sat": _food(lambda o: dashboard.weekend_share(o, weekend_days=(6, 7))),
+        "weekend_share": _orders(dashboard.weekend_share),
+        "weekend_share_fri_sat": _orders(lambda o: dashboard.weekend_share(o, weekend_days=(6, 7))),
     }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import exact_mean, first_matching_band, ratio, weekday_number
+from tillsight.operators.exploration import revenue_share
 from tillsight.operators.ranking import top_n
 from tillsight.plans import counts_by_key, share_of_total
 
@@ -217,10 +218,7 @@ def sales_by_place(orders: DataFrame, level: str = "city") -> DataFrame:
 
 def diet_distribution(orders: DataFrame) -> DataFrame:
     """Sales per diet and their share."""
-    totals = orders.groupBy("diet").agg(_sales().alias("total_sales"))
-    return totals.withColumn("pct_of_sales", F.round(share_of_total(totals, "total_sales"), 2)).orderBy(
-        F.desc("total_sales"), "diet"
-    )
+    return revenue_share(orders, "diet", "amount", pct="pct_of_sales")
 
 
 def top_cities(orders: DataFrame, n: int = 5) -> DataFrame:

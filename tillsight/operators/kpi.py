@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.functions import month_name, ratio, weekday_name, weekday_number
+from tillsight.operators.exploration import revenue_share
 from tillsight.operators.ranking import top_n
 from tillsight.plans import share_of_total
 
@@ -83,8 +84,8 @@ def orders_by_month_name(lines: DataFrame) -> DataFrame:
 
 def share_by_category(lines: DataFrame) -> DataFrame:
     """Unrounded percentage of revenue and revenue per category."""
-    totals = lines.groupBy("pizza_category").agg(_revenue().alias("total_sales"))
-    return totals.select("pizza_category", share_of_total(totals, "total_sales").alias("pct"), "total_sales")
+    shares = revenue_share(lines, "pizza_category", "total_price", pct="pct", digits=None)
+    return shares.select("pizza_category", "pct", "total_sales")
 
 
 def share_by_size(lines: DataFrame) -> DataFrame:

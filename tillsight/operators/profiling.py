@@ -51,13 +51,20 @@ def _exact_profile(name: str, df: DataFrame) -> DataFrame:
         [], df.columns, "column_name", "value"
     )
     per_value = cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cells"))
-    counts = per_value.groupBy("column_name").agg(
-        F.sum(F.when(F.col("value").isNull(), F.col("cells")).otherwise(0)).alias("null_count"),
-        F.count("value").alias("distinct_count"),
-    )
     # a table without rows has no cells, but its columns are still listed
-    listed = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column_name string")
-    counts = listed.join(counts, "column_name", "left").fillna(0, ["null_count", "distinct_count"])
+    listed = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("column_name"),
+        F.lit(None).cast("string").alias("value"),
+        F.lit(0).cast("bigint").alias("cells"),
+    )
+    counts = (
+        per_value.unionByName(listed)
+        .groupBy("column_name")
+        .agg(
+            F.sum(F.when(F.col("value").isNull(), F.col("cells")).otherwise(0)).alias("null_count"),
+            F.count("value").alias("distinct_count"),
+        )
+    )
     return _described(name, df, counts)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions import as_of_date, blank_concat, first_matching_band, month_diff, ratio, year_diff
 from tillsight.operators.segments import customer_segment
-from tillsight.plans import match_key
+from tillsight.plans import aggregate_with_distinct, match_key
 from tillsight.sources.files import register_views
 
 
@@ -44,19 +44,17 @@ def report_customers(
     dated = fact.filter(F.col("order_date").isNotNull()).select(
         "customer_key", "order_number", "product_key", "order_date", "quantity", "sales_amount"
     )
-    totals = (
-        match_key(dated, customers, "customer_key", "_known")
-        .groupBy("_known")
-        .agg(
-            F.countDistinct("order_number").alias("total_orders"),
+    totals = aggregate_with_distinct(
+        match_key(dated, customers, "customer_key", "_known"),
+        "_known",
+        [
             F.sum("sales_amount").alias("total_sales"),
             F.sum("quantity").alias("total_quantity"),
-            F.countDistinct("product_key").alias("total_products"),
             F.min("order_date").alias("first_order_date"),
             F.max("order_date").alias("last_order_date"),
-        )
-        .withColumn("lifespan_months", month_diff("first_order_date", "last_order_date"))
-    )
+        ],
+        {"total_orders": "order_number", "total_products": "product_key"},
+    ).withColumn("lifespan_months", month_diff("first_order_date", "last_order_date"))
     attributes = customers.select(
         "customer_key", "customer_number", "first_name", "last_name", year_diff("birthdate", today).alias("age")
     )
@@ -96,19 +94,17 @@ def report_products(
     dated = fact.filter(F.col("order_date").isNotNull()).select(
         "product_key", "order_number", "customer_key", "order_date", "quantity", "sales_amount"
     )
-    totals = (
-        match_key(dated, products, "product_key", "_known")
-        .groupBy("_known")
-        .agg(
-            F.min("order_date").alias("first_sale_date"),
-            F.max("order_date").alias("last_sale_date"),
-            F.countDistinct("order_number").alias("total_orders"),
-            F.countDistinct("customer_key").alias("total_customers"),
+    totals = aggregate_with_distinct(
+        match_key(dated, products, "product_key", "_known"),
+        "_known",
+        [
             F.sum("sales_amount").alias("total_sales"),
             F.sum("quantity").alias("total_quantity"),
-        )
-        .withColumn("lifespan_months", month_diff("first_sale_date", "last_sale_date"))
-    )
+            F.min("order_date").alias("first_sale_date"),
+            F.max("order_date").alias("last_sale_date"),
+        ],
+        {"total_orders": "order_number", "total_customers": "customer_key"},
+    ).withColumn("lifespan_months", month_diff("first_sale_date", "last_sale_date"))
     attributes = products.select("product_key", "product_name", "category", "subcategory", "cost")
     no_units = F.col("total_quantity") == 0
     unit_price = ratio("total_sales", "total_quantity")

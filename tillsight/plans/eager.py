@@ -52,3 +52,21 @@ def match_key(fact: DataFrame, dimension: DataFrame, key: str, name: str) -> Dat
     """
     known = dimension.select(F.col(key).alias(name))
     return fact.join(known, fact[key] == known[name], "left")
+
+
+def aggregate_with_distinct(
+    df: DataFrame, by: str, aggregates: Sequence[Column], distinct: dict[str, str]
+) -> DataFrame:
+    """Group by ``by`` with plain aggregates and exact distinct counts (output name -> column).
+
+    Several distinct counts in one aggregate make Spark write every row once per
+    count. One aggregate per count instead reads the shared columns again and
+    removes duplicates before its shuffle, spread by group and value; the
+    results, one row per group, are joined.
+    """
+    first, *others = distinct.items()
+    result = df.groupBy(by).agg(*aggregates, F.countDistinct(first[1]).alias(first[0]))
+    for name, column in others:
+        counted = df.groupBy(F.col(by).alias("_same")).agg(F.countDistinct(column).alias(name))
+        result = result.join(counted, F.col(by).eqNullSafe(F.col("_same")), "inner").drop("_same")
+    return result

@@ -18,16 +18,15 @@ def dense_rank_top(df: DataFrame, measure: str, k: int, rank: str, ascending: bo
     A row is kept exactly when its value is among the k first distinct values.
     Those k values come from a distributed top-k and are ranked alone (at most k
     rows), then joined back, so that a tie shared by most rows is never gathered
-    in one task. Both uses of ``df`` read the same shuffle output.
+    in one task. Both uses of ``df`` read the same shuffle output. The result
+    carries the rank and is not sorted.
     """
-    order = _sort_column(measure, ascending)
     best = df.select(F.col(measure).alias("_value")).distinct()
     best = best.orderBy(_sort_column("_value", ascending)).limit(k)
     ranked = best.select(
         "_value", F.dense_rank().over(Window.orderBy(_sort_column("_value", ascending))).alias(rank)
     )
-    kept = df.join(F.broadcast(ranked), F.col(measure).eqNullSafe(F.col("_value")), "inner").drop("_value")
-    return kept.orderBy(order)
+    return df.join(F.broadcast(ranked), F.col(measure).eqNullSafe(F.col("_value")), "inner").drop("_value")
 
 
 def first_n(df: DataFrame, measure: str, n: int, tiebreak: Sequence[str], ascending: bool = False) -> DataFrame:

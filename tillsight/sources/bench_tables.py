@@ -6,12 +6,16 @@ NULL dates, zero quantities and customers without orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillsight.sources.schemas import DIM_CUSTOMERS
+
 # Reporting date of all registered queries.
 AS_OF = "2002-01-01"
 
+CUSTOMER_COLUMNS = DIM_CUSTOMERS.fieldNames()
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,23 +54,30 @@ def fact_sales(spark: SparkSession, sf_dir: str, with_price: bool = False) -> Da
 
 
 def dim_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    nation = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
     return (
-        _table(spark, sf_dir, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .select(
-            key.alias("customer_key"),
-            key.alias("customer_id"),
-            F.col("c_name").alias("customer_number"),
-            F.substring("c_name", 1, 8).alias("first_name"),
-            F.when(key % 41 != 0, F.substring("c_name", 10, 9)).alias("last_name"),
-            F.col("n_name").alias("country"),
-            F.when(key % 3 == 0, "Male").when(key % 3 == 1, "Female").otherwise("n/a").alias("gender"),
-            F.when(
-                key % 53 != 0, F.date_add(F.lit("1950-01-01").cast("date"), ((key * 37) % 20000).cast("int"))
-            ).alias("birthdate"),
-        )
+        _customers(spark, sf_dir)
+        .join(nation, F.col("_nation") == F.col("n_nationkey"), "left")
+        .select(*CUSTOMER_COLUMNS)
+    )
+
+
+def dim_customers_without_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For analyses that do not read the country, which costs a join."""
+    return _customers(spark, sf_dir).select(*[c for c in CUSTOMER_COLUMNS if c != "country"])
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    born = F.date_add(F.lit("1950-01-01").cast("date"), ((key * 37) % 20000).cast("int"))
+    return _table(spark, sf_dir, "customer").select(
+        key.alias("customer_key"),
+        key.alias("customer_id"),
+        F.col("c_name").alias("customer_number"),
+        F.substring("c_name", 1, 8).alias("first_name"),
+        F.when(key % 41 != 0, F.substring("c_name", 10, 9)).alias("last_name"),
+        F.when(key % 3 == 0, "Male").when(key % 3 == 1, "Female").otherwise("n/a").alias("gender"),
+        F.when(key % 53 != 0, born).alias("birthdate"),
+        F.col("c_nationkey").alias("_nation"),
     )
 
 
@@ -127,7 +138,6 @@ def er_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def food_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.col("o_orderkey")
     customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = _table(spark, sf_dir, "region")
@@ -136,20 +146,28 @@ def food_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        .select(
-            order.alias("order_id"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            F.col("n_name").alias("city"),
-            F.col("r_name").alias("state"),
-            F.col("c_mktsegment").alias("restaurant"),
-            F.col("o_orderpriority").alias("category"),
-            F.when(order % 3 == 0, "Non-Veg").otherwise("Veg").alias("diet"),
-            F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
-            F.when(order % 11 != 0, (10 + order % 41).cast("double") / 10).alias("rating"),
-        )
+        .withColumns({"city": F.col("n_name"), "state": F.col("r_name"), "restaurant": F.col("c_mktsegment")})
+        .select(*_order_columns()[:2], "city", "state", "restaurant", *_order_columns()[2:])
     )
 
 
+def food_orders_without_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For analyses that read neither place nor restaurant, which cost three joins."""
+    return _table(spark, sf_dir, "orders").select(*_order_columns())
+
+
+def _order_columns() -> list[Column]:
+    order = F.col("o_orderkey")
+    return [
+        order.alias("order_id"),
+        F.col("o_orderdate").cast("date").alias("order_date"),
+        F.col("o_orderpriority").alias("category"),
+        F.when(order % 3 == 0, "Non-Veg").otherwise("Veg").alias("diet"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
+        F.when(order % 11 != 0, (10 + order % 41).cast("double") / 10).alias("rating"),
+    ]
+
+
 def raw_food_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Food orders as an untyped import: padded text, blanks, bad numbers, repeated rows."""
     order = F.col("o_orderkey")
