@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tillsight.plans.materialize import materialize
+from tillsight.plans.ranks import dense_rank_top
 
 # Strengths are square roots in double; this covers their rounding.
 _SLACK = 1.000001
@@ -144,30 +145,32 @@ def _label_numbers(labels: DataFrame) -> DataFrame:
     return named.join(lowest, "_label", "inner").select("_item", F.col("_number").alias("_label"))
 
 
-def _named(counts: DataFrame, labels: DataFrame) -> DataFrame:
+def _best_named(counts: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """The counts of the ``n`` largest values, with names: only these meet the label table."""
+    best = dense_rank_top(counts, "times", n, "_rank")
     a = labels.select(F.col("_item").alias("label_a"), F.col("_label").alias("_name_a"))
     b = labels.select(F.col("_item").alias("label_b"), F.col("_label").alias("_name_b"))
     return (
-        counts.join(a, "label_a", "left")
+        best.join(a, "label_a", "left")
         .join(b, "label_b", "left")
         .select(F.col("_name_a").alias("label_a"), F.col("_name_b").alias("label_b"), "times")
     )
 
 
 def top_label_pairs(
-    lines: DataFrame, labels: DataFrame, n: int, block: int = 512, direct_pairs_per_line: float = 32
+    lines: DataFrame, labels: DataFrame, n: int, block: int = 512, direct_pairs_per_line: float = 8
 ) -> DataFrame:
-    """Counts of label pairs, complete for all pairs that can be among the ``n`` largest.
+    """Counts of the label pairs whose count is among the ``n`` largest counts.
 
     ``labels`` has ``_item``, unique, and ``_label``; items without one share the
-    NULL label. Ties with the n-th count are included, so that the caller can
-    settle them. While the groups make at most ``direct_pairs_per_line`` pairs
-    per line on average, forming all pairs is linear work and nothing is pruned.
+    NULL label. Ties are included, so that the caller can settle them. While the
+    groups make at most ``direct_pairs_per_line`` pairs per line on average,
+    forming all pairs is linear work, cheaper than the bounds.
     """
     lines = materialize(lines.join(_label_numbers(labels), "_item", "left"))
     volume = pair_volume(lines, block)
     if volume["wide"] + volume["narrow"] <= direct_pairs_per_line * volume["lines"]:
-        return _named(pair_counts(lines, block, volume), labels)
+        return _best_named(pair_counts(lines, block, volume), labels, n)
 
     strengths = _strengths(lines)
     # the n-th count among a few strong labels: the n-th result is at least this
@@ -180,7 +183,7 @@ def top_label_pairs(
     able = strengths.filter(F.col("_strength") * strongest[0]["_strength"] >= floor)
     candidates = lines.join(able, F.col("_label").eqNullSafe(F.col("_strong")), "inner").drop("_strong")
     reachable = F.col("a._strength") * F.col("b._strength") >= floor
-    return _named(pair_counts(candidates, block, reachable=reachable), labels)
+    return _best_named(pair_counts(candidates, block, reachable=reachable), labels, n)
 
 
 def _strengths(lines: DataFrame) -> DataFrame:
