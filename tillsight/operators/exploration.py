@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillsight import labels
 from tillsight.functions import as_of_date, blank_concat, exact_mean, month_diff, pct_text, year_diff
 from tillsight.plans import roll_up, share_of_total
 
@@ -55,16 +56,16 @@ def measure_summary(fact: DataFrame, customers: DataFrame, products: DataFrame)
 
     measures = [
         fact.agg(
-            F.sum("sales_amount").cast("double").alias("Total Sales"),
-            F.sum("quantity").cast("double").alias("Total Quantity"),
-            exact_mean("sales_amount").alias("Average Order Value"),
-            exact_mean("price").alias("Average Unit Price"),
+            F.sum("sales_amount").cast("double").alias(labels.TOTAL_SALES),
+            F.sum("quantity").cast("double").alias(labels.TOTAL_QUANTITY),
+            exact_mean("sales_amount").alias(labels.AVERAGE_ORDER_VALUE),
+            exact_mean("price").alias(labels.AVERAGE_UNIT_PRICE),
         ),
-        distinct(fact, "order_number", "Total Orders"),
-        distinct(products, "product_key", "Total Products (Dim)"),
-        distinct(fact, "product_key", "Total Products (Sold)"),
-        distinct(customers, "customer_key", "Total Customers (Dim)"),
-        distinct(fact, "customer_key", "Total Customers (Ordered)"),
+        distinct(fact, "order_number", labels.TOTAL_ORDERS),
+        distinct(products, "product_key", labels.PRODUCTS_IN_DIMENSION),
+        distinct(fact, "product_key", labels.PRODUCTS_SOLD),
+        distinct(customers, "customer_key", labels.CUSTOMERS_IN_DIMENSION),
+        distinct(fact, "customer_key", labels.CUSTOMERS_ORDERED),
     ]
     return reduce(DataFrame.unionByName, [m.unpivot([], m.columns, "measure_name", "measure_value") for m in measures])
 

@@ -7,13 +7,14 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillsight import labels
 from tillsight.functions import as_of_date, blank_concat, first_matching_band, month_diff, ratio, year_diff
 from tillsight.operators.segments import customer_segment
 from tillsight.plans import aggregate_with_distinct, match_key
 from tillsight.sources.files import register_views
 
 
-def age_group(age: Column, cuts: tuple[int, int, int, int] = (20, 30, 40, 50)) -> Column:
+def age_group(age: Column, cuts: tuple[int, int, int, int] = labels.AGE_CUTS) -> Column:
     """Gapless age bands; an unknown age falls into the last one."""
     edges = list(zip(cuts, cuts[1:]))
     bands = [(age < cuts[0], f"UNDER {cuts[0]}")]
@@ -21,8 +22,10 @@ def age_group(age: Column, cuts: tuple[int, int, int, int] = (20, 30, 40, 50)) -
     return first_matching_band(bands, f"{cuts[-1]}+")
 
 
-def product_tier(sales: Column, high: float = 50000, mid: float = 10000) -> Column:
-    return first_matching_band([(sales > high, "HIGH PERFORMER"), (sales >= mid, "MID PERFORMER")], "LOW PERFORMER")
+def product_tier(sales: Column, high: float = labels.HIGH_SALES, mid: float = labels.MID_SALES) -> Column:
+    return first_matching_band(
+        [(sales > high, labels.HIGH_PERFORMER), (sales >= mid, labels.MID_PERFORMER)], labels.LOW_PERFORMER
+    )
 
 
 def _spread_over_lifespan() -> Column:
@@ -35,9 +38,9 @@ def report_customers(
     fact: DataFrame,
     customers: DataFrame,
     as_of: dt.date | str | Column | None = None,
-    min_months: int = 12,
-    vip_spend: float = 5000,
-    age_cuts: tuple[int, int, int, int] = (20, 30, 40, 50),
+    min_months: int = labels.MIN_MONTHS,
+    vip_spend: float = labels.VIP_SPEND,
+    age_cuts: tuple[int, int, int, int] = labels.AGE_CUTS,
 ) -> DataFrame:
     """One row per customer with dated sales; sales of unknown customers share one row."""
     today = as_of_date(as_of)
@@ -86,8 +89,8 @@ def report_products(
     fact: DataFrame,
     products: DataFrame,
     as_of: dt.date | str | Column | None = None,
-    high: float = 50000,
-    mid: float = 10000,
+    high: float = labels.HIGH_SALES,
+    mid: float = labels.MID_SALES,
 ) -> DataFrame:
     """One row per product with dated sales; sales of unknown products share one row."""
     today = as_of_date(as_of)

@@ -7,11 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillsight import labels
 from tillsight.functions import as_of_date, exact_mean, first_matching_band, month_diff
 from tillsight.plans import exact_tiles
 
 
-def cost_range(cost: Column, cuts: tuple[int, int, int, int] = (100, 499, 500, 999)) -> Column:
+def cost_range(cost: Column, cuts: tuple[int, int, int, int] = labels.COST_CUTS) -> Column:
     """Tier label of a cost. NULL and values between two tiers fall into the last one."""
     low, low_end, high, high_end = cuts
     return first_matching_band(
@@ -24,7 +25,7 @@ def cost_range(cost: Column, cuts: tuple[int, int, int, int] = (100, 499, 500, 9
     )
 
 
-def cost_segments(products: DataFrame, cuts: tuple[int, int, int, int] = (100, 499, 500, 999)) -> DataFrame:
+def cost_segments(products: DataFrame, cuts: tuple[int, int, int, int] = labels.COST_CUTS) -> DataFrame:
     return (
         products.groupBy(cost_range(F.col("cost"), cuts).alias("cost_range"))
         .agg(F.count("product_id").alias("total_products"))
@@ -32,16 +33,16 @@ def cost_segments(products: DataFrame, cuts: tuple[int, int, int, int] = (100, 4
     )
 
 
-def customer_segment(lifespan: Column, spend: Column, min_months: int = 12, vip_spend: float = 5000) -> Column:
+def customer_segment(lifespan: Column, spend: Column, min_months: int = labels.MIN_MONTHS, vip_spend: float = labels.VIP_SPEND) -> Column:
     """VIP and REGULAR need ``min_months`` of history; a NULL on either side gives NEW."""
     tenured = lifespan >= min_months
     return first_matching_band(
-        [(tenured & (spend > vip_spend), "VIP"), (tenured & (spend <= vip_spend), "REGULAR")], "NEW"
+        [(tenured & (spend > vip_spend), labels.VIP), (tenured & (spend <= vip_spend), labels.REGULAR)], labels.NEW
     )
 
 
 def customer_segments(
-    fact: DataFrame, min_months: int = 12, vip_spend: float = 5000, tenure_avg: str = "truncate"
+    fact: DataFrame, min_months: int = labels.MIN_MONTHS, vip_spend: float = labels.VIP_SPEND, tenure_avg: str = "truncate"
 ) -> DataFrame:
     """Customers, mean spend and mean tenure per segment.
 
@@ -76,18 +77,19 @@ def customer_segments(
     )
 
 
-def rfm_segment(total: Column, cuts: tuple[int, int, int] = (10, 7, 5)) -> Column:
+def rfm_segment(total: Column, cuts: tuple[int, int, int] = labels.RFM_CUTS) -> Column:
     champion, loyal, at_risk = cuts
     return first_matching_band(
-        [(total >= champion, "CHAMPION"), (total >= loyal, "LOYAL"), (total >= at_risk, "AT RISK")], "LOST"
+        [(total >= champion, labels.CHAMPION), (total >= loyal, labels.LOYAL), (total >= at_risk, labels.AT_RISK)],
+        labels.LOST,
     )
 
 
 def rfm(
     fact: DataFrame,
     as_of: dt.date | str | Column | None = None,
-    buckets: int = 4,
-    cuts: tuple[int, int, int] = (10, 7, 5),
+    buckets: int = labels.RFM_BUCKETS,
+    cuts: tuple[int, int, int] = labels.RFM_CUTS,
     single_task_rows: int = 1_000_000,
 ) -> DataFrame:
     """Recency, frequency and monetary quantile scores per customer, best total first.

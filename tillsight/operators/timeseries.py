@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillsight import labels
 from tillsight.functions import first_matching_band, month_name, ratio
 from tillsight.plans import roll_up
 
@@ -100,14 +101,14 @@ def yoy_by_name(fact: DataFrame, products: DataFrame) -> DataFrame:
             "avg_sales",
             (sales.cast("double") - F.col("avg_sales")).alias("diff_vs_avg"),
             first_matching_band(
-                [(scaled > F.col("_all"), "ABOVE AVG"), (scaled < F.col("_all"), "BELOW AVG")], "AT AVG"
+                [(scaled > F.col("_all"), labels.ABOVE_AVG), (scaled < F.col("_all"), labels.BELOW_AVG)], labels.AT_AVG
             ).alias("avg_performance_flag"),
             "prior_year_sales",
             "yoy_change_abs",
             _change_pct().alias("yoy_change_pct"),
-            first_matching_band([(change > 0, "INCREASING"), (change < 0, "DECREASING")], "NO CHANGE").alias(
-                "yoy_direction"
-            ),
+            first_matching_band(
+                [(change > 0, labels.INCREASING), (change < 0, labels.DECREASING)], labels.NO_CHANGE
+            ).alias("yoy_direction"),
         )
         .orderBy("product_name", "order_year")
     )
@@ -133,7 +134,8 @@ def yoy_by_key(fact: DataFrame, products: DataFrame) -> DataFrame:
             "yoy_change_abs",
             _change_pct().alias("yoy_change_pct"),
             first_matching_band(
-                [(prior.isNull(), "FIRST YEAR"), (change > 0, "GROWING"), (change < 0, "DECLINING")], "FLAT"
+                [(prior.isNull(), labels.FIRST_YEAR), (change > 0, labels.GROWING), (change < 0, labels.DECLINING)],
+                labels.FLAT,
             ).alias("yoy_direction"),
         )
         .orderBy("product_name", "order_year", "product_key")

@@ -11,28 +11,37 @@ _local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's checkpoint folder.
+    """This application's folder for intermediate tables, below the session's checkpoint folder.
 
     Only a local session that names none gets a folder of its own. On a cluster
     that is an error, since executors cannot read each other's local folders.
     """
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is not None:
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return _local_folders.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tillsight-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tillsight-")
+        folder = _local_folders[context.applicationId]
+    return f"{folder.rstrip('/')}/tillsight-{context.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return the stored rows.
 
     The copy cuts the lineage, survives the loss of executors, is read by column
-    and has a known size, so Spark can choose joins by it. The folder is cleaned
-    like any checkpoint folder, by its owner.
+    and has a known size, so Spark can choose joins by it. It stays until
+    ``drop_materialized``, since the returned rows are read lazily.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tillsight-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once its results have been read."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
