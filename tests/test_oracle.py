@@ -119,3 +119,51 @@ def test_no_query_plans_a_cross_join(spark, sf_dir):
     for name, query in QUERIES.items():
         text = plan(query(spark, sf_dir))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+@pytest.fixture(scope="module")
+def stored(spark, sf_dir, tmp_path_factory):
+    """The star model as Parquet, the way a warehouse keeps it."""
+    from tillsight.sources import bench_tables as t
+    from tillsight.sources.files import read_table, write_parquet
+
+    folder = tmp_path_factory.mktemp("stored")
+    write_parquet(t.fact_sales(spark, sf_dir, with_price=True), f"{folder}/fact_sales")
+    write_parquet(t.dim_customers(spark, sf_dir), f"{folder}/dim_customers")
+    write_parquet(t.dim_products(spark, sf_dir), f"{folder}/dim_products")
+    return {n: read_table(spark, n, f"{folder}/{n}") for n in ("fact_sales", "dim_customers", "dim_products")}
+
+
+def scans(text, table):
+    return [line for line in text.splitlines() if "FileScan" in line and f"{table}]" in line]
+
+
+def test_date_guard_and_columns_reach_the_stored_fact(stored):
+    from tillsight.operators import cohort
+
+    (scan,) = scans(plan(cohort.cohort_retention(stored["fact_sales"])), "fact_sales")
+    assert "PushedFilters: [IsNotNull(order_date), IsNotNull(customer_key)]" in scan
+    assert "ReadSchema: struct<customer_key:bigint,order_date:date,sales_amount:decimal(18,2)>" in scan
+
+
+def test_filter_on_a_report_view_reaches_the_stored_fact(spark, stored):
+    from tillsight.operators import reports
+
+    reports.register_reports(stored["fact_sales"], stored["dim_customers"], stored["dim_products"], "2002-01-01")
+    one = spark.sql("select * from report_customers where customer_key = 5")
+    found = scans(plan(one), "fact_sales")
+    assert found and all("EqualTo(customer_key,5)" in scan for scan in found)
+    every = spark.table("report_customers").filter("customer_key <=> 5")
+    assert rows(one) == rows(every) and one.count() == 1
+
+
+def test_distinct_counts_read_one_column_each(stored):
+    from tillsight.operators import exploration
+
+    text = plan(exploration.measure_summary(stored["fact_sales"], stored["dim_customers"], stored["dim_products"]))
+    assert sorted(scan.split("ReadSchema: ")[1] for scan in scans(text, "fact_sales")) == [
+        "struct<customer_key:bigint>",
+        "struct<order_number:string>",
+        "struct<product_key:bigint>",
+        "struct<sales_amount:decimal(18,2),quantity:int,price:decimal(18,2)>",
+    ]

@@ -59,10 +59,14 @@ def report_customers(
         {"total_orders": "order_number", "total_products": "product_key"},
     ).withColumn("lifespan_months", month_diff("first_order_date", "last_order_date"))
     attributes = customers.select(
-        "customer_key", "customer_number", "first_name", "last_name", year_diff("birthdate", today).alias("age")
+        F.col("customer_key").alias("_key"),
+        "customer_number",
+        "first_name",
+        "last_name",
+        year_diff("birthdate", today).alias("age"),
     )
-    return totals.join(attributes, F.col("_known") == F.col("customer_key"), "left").select(
-        "customer_key",
+    return totals.join(attributes, F.col("_known") == F.col("_key"), "left").select(
+        F.col("_known").alias("customer_key"),
         "customer_number",
         blank_concat("first_name", "last_name").alias("customer_name"),
         "age",
@@ -108,11 +112,13 @@ def report_products(
         ],
         {"total_orders": "order_number", "total_customers": "customer_key"},
     ).withColumn("lifespan_months", month_diff("first_sale_date", "last_sale_date"))
-    attributes = products.select("product_key", "product_name", "category", "subcategory", "cost")
+    attributes = products.select(
+        F.col("product_key").alias("_key"), "product_name", "category", "subcategory", "cost"
+    )
     no_units = F.col("total_quantity") == 0
     unit_price = ratio("total_sales", "total_quantity")
-    return totals.join(attributes, F.col("_known") == F.col("product_key"), "left").select(
-        "product_key",
+    return totals.join(attributes, F.col("_known") == F.col("_key"), "left").select(
+        F.col("_known").alias("product_key"),
         "product_name",
         "category",
         "subcategory",

@@ -10,6 +10,7 @@ dimension only when its measured size is under the session's threshold.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,12 +62,15 @@ def aggregate_with_distinct(
 
     Several distinct counts in one aggregate make Spark write every row once per
     count. One aggregate per count instead reads the shared columns again and
-    removes duplicates before its shuffle, spread by group and value; the
-    results, one row per group, are joined.
+    removes duplicates before its shuffle, spread by group and value. The parts
+    have one row per group; they are stacked and folded, which keeps a NULL group
+    and lets a later filter on ``by`` reach all of them.
     """
     first, *others = distinct.items()
-    result = df.groupBy(by).agg(*aggregates, F.countDistinct(first[1]).alias(first[0]))
-    for name, column in others:
-        counted = df.groupBy(F.col(by).alias("_same")).agg(F.countDistinct(column).alias(name))
-        result = result.join(counted, F.col(by).eqNullSafe(F.col("_same")), "inner").drop("_same")
-    return result
+    parts = [df.groupBy(by).agg(*aggregates, F.countDistinct(first[1]).alias(first[0]))]
+    parts += [df.groupBy(by).agg(F.countDistinct(column).alias(name)) for name, column in others]
+    if not others:
+        return parts[0]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # each measure has one value per group, in one of the parts
+    return stacked.groupBy(by).agg(*[F.max(c).alias(c) for c in stacked.columns if c != by])
