@@ -188,6 +188,8 @@ def queries() -> dict[str, Query]:
         "kpi_cards": _lines(kpi.kpi_cards),
         "orders_by_weekday": _lines(kpi.orders_by_weekday),
         "orders_by_month_name": _lines(kpi.orders_by_month_name),
+        "order_trend_day": _lines(lambda s: timeseries.sales_trend(s, "day", amount="total_price")),
+        "order_trend_month": _lines(lambda s: timeseries.sales_trend(s, "month", amount="total_price")),
         "share_by_category": _lines(kpi.share_by_category),
         "share_by_size": _lines(kpi.share_by_size),
         "top5_by_revenue": _lines(kpi.top_by_revenue),
@@ -225,6 +227,7 @@ def queries() -> dict[str, Query]:
         "sales_trend_month": _orders(lambda o: timeseries.sales_trend(o, "month")),
         "sales_by_city": _food(lambda o: dashboard.sales_by_place(o, "city")),
         "sales_by_state": _food(lambda o: dashboard.sales_by_place(o, "state")),
+        "sales_by_food_category": _orders(lambda o: dashboard.sales_by_place(o, "category")),
         "diet_distribution": _orders(dashboard.diet_distribution),
         "top_cities": _food(dashboard.top_cities),
         "weekend_share": _orders(dashboard.weekend_share),

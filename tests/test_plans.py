@@ -6,6 +6,8 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
@@ -49,6 +51,18 @@ def test_distributed_tiles_use_no_single_partition(spark):
     assert sorted(r["count"] for r in out.groupBy("t").count().collect()) == [1250] * 4
 
 
+@given(st.integers(0, 500), st.integers(1, 9), st.lists(st.integers(0, 60), min_size=1, max_size=20))
+def test_tile_starts_and_ids_agree_with_definition(count, k, parts):
+    buckets = ntile(list(range(count)), k)
+    firsts = {bucket: position for position, bucket in reversed(list(buckets.items()))}
+    starts = [firsts[bucket] for bucket in range(2, k + 1) if bucket in firsts]
+    assert [s for s in tiles.tile_starts(count, k) if s < count] == starts
+    # rows of numbered partitions in order, some of them empty
+    ids = [(part << 33) + row for part, size in enumerate(parts) for row in range(size)]
+    sizes = [(part, size) for part, size in enumerate(parts) if size]
+    assert tiles._ids_at(range(len(ids) + 2), sizes) == ids
+
+
 def test_tile_starts():
     assert tiles.tile_starts(10, 4) == [3, 6, 8]
     assert tiles.tile_starts(2, 4) == [1, 2, 2]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +76,15 @@ def test_as_of_date(spark):
 def test_rounding_is_half_away_from_zero(spark):
     df = spark.createDataFrame([(0.125,), (-0.125,), (2.5,)], "x double")
     assert rows(df.select(F.round("x", 2))) == [(0.13,), (-0.13,), (2.5,)]
+
+
+def test_differences_agree_with_calendar_arithmetic(spark):
+    rng = random.Random(7)
+    start = D(1990, 1, 1)
+    pairs = [tuple(start + dt.timedelta(days=rng.randrange(15000)) for _ in range(2)) for _ in range(500)]
+    df = spark.createDataFrame(pairs, "a date, b date")
+    got = rows(df.select("a", "b", sem.month_diff("a", "b"), sem.year_diff("a", "b"), sem.month_start("a")))
+    for a, b, months, years, first in got:
+        assert months == (b.year * 12 + b.month) - (a.year * 12 + a.month)
+        assert years == b.year - a.year
+        assert first == a.replace(day=1)

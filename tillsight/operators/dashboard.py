@@ -208,7 +208,7 @@ def food_kpis(orders: DataFrame) -> DataFrame:
 
 
 def sales_by_place(orders: DataFrame, level: str = "city") -> DataFrame:
-    """Sales and orders per 'city' or 'state'."""
+    """Sales and orders per 'city', 'state' or another column, best first."""
     return (
         orders.groupBy(level)
         .agg(_sales().alias("total_sales"), _orders().alias("total_orders"))

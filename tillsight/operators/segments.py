@@ -33,7 +33,9 @@ def cost_segments(products: DataFrame, cuts: tuple[int, int, int, int] = labels.
     )
 
 
-def customer_segment(lifespan: Column, spend: Column, min_months: int = labels.MIN_MONTHS, vip_spend: float = labels.VIP_SPEND) -> Column:
+def customer_segment(
+    lifespan: Column, spend: Column, min_months: int = labels.MIN_MONTHS, vip_spend: float = labels.VIP_SPEND
+) -> Column:
     """VIP and REGULAR need ``min_months`` of history; a NULL on either side gives NEW."""
     tenured = lifespan >= min_months
     return first_matching_band(
@@ -42,7 +44,10 @@ def customer_segment(lifespan: Column, spend: Column, min_months: int = labels.M
 
 
 def customer_segments(
-    fact: DataFrame, min_months: int = labels.MIN_MONTHS, vip_spend: float = labels.VIP_SPEND, tenure_avg: str = "truncate"
+    fact: DataFrame,
+    min_months: int = labels.MIN_MONTHS,
+    vip_spend: float = labels.VIP_SPEND,
+    tenure_avg: str = "truncate",
 ) -> DataFrame:
     """Customers, mean spend and mean tenure per segment.
 
@@ -104,7 +109,12 @@ def rfm(
             F.countDistinct("order_number").alias("frequency"),
             F.sum("sales_amount").alias("monetary"),
         )
-        .select("customer_key", month_diff("_last_order", as_of_date(as_of)).alias("recency_months"), "frequency", "monetary")
+        .select(
+            "customer_key",
+            month_diff("_last_order", as_of_date(as_of)).alias("recency_months"),
+            "frequency",
+            "monetary",
+        )
     )
     key = F.col("customer_key").asc_nulls_first()
     scored = exact_tiles(

@@ -121,7 +121,10 @@ def yoy_by_key(fact: DataFrame, products: DataFrame) -> DataFrame:
     sales, prior, change = F.col("total_sales"), F.col("_prior"), F.col("yoy_change_abs")
     return (
         yearly.withColumns(
-            {"_prior": F.lag("total_sales", 1).over(by_year), "_prior_or_zero": F.lag("total_sales", 1, 0).over(by_year)}
+            {
+                "_prior": F.lag("total_sales", 1).over(by_year),
+                "_prior_or_zero": F.lag("total_sales", 1, 0).over(by_year),
+            }
         )
         .withColumn("yoy_change_abs", sales - F.col("_prior_or_zero"))
         .select(
@@ -147,7 +150,9 @@ def yoy(fact: DataFrame, products: DataFrame, entity: str = "product_name") -> D
     return {"product_name": yoy_by_name, "product_key": yoy_by_key}[entity](fact, products)
 
 
-def sales_trend(orders: DataFrame, grain: str = "month", date_col: str = "order_date", amount: str = "amount") -> DataFrame:
+def sales_trend(
+    orders: DataFrame, grain: str = "month", date_col: str = "order_date", amount: str = "amount"
+) -> DataFrame:
     """Sales and distinct orders per day, week (from Monday), month, quarter or year."""
     return (
         orders.groupBy(_period(grain, date_col).alias("period"))
