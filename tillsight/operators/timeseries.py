@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight import labels
@@ -10,7 +10,7 @@ from tillsight.functions import first_matching_band, month_name, ratio
 from tillsight.plans import roll_up
 
 
-def _period(grain: str, column: str):
+def _period(grain: str, column: str) -> Column:
     if grain not in ("day", "week", "month", "quarter", "year"):
         raise ValueError(f"unknown grain {grain!r}")
     return F.date_trunc(grain, F.col(column)).cast("date") if grain == "day" else F.trunc(column, grain)
@@ -67,7 +67,7 @@ def _yearly_sales(fact: DataFrame, products: DataFrame, by: list[str]) -> DataFr
     )
 
 
-def _change_pct():
+def _change_pct() -> Column:
     sales, prior = F.col("total_sales"), F.col("_prior")
     return F.round(ratio((sales - prior) * 100, prior), 2)
 
