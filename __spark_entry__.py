@@ -92,15 +92,14 @@ def _clean_by_key(raw: DataFrame) -> DataFrame:
 
 
 def _attach_calendar(fact: DataFrame) -> DataFrame:
-    returns = fact.filter(F.col("quantity") == 0)
     calendar = dashboard.calendar_table(fact, "order_date")
     measures = {"lines": F.count(F.lit(1)), "total_sales": F.sum("sales_amount")}
-    return dashboard.attach_calendar(returns, calendar, "order_date", measures)
+    return dashboard.attach_calendar(fact, calendar, "order_date", measures)
 
 
 def _merge_tables(fact: DataFrame, customers: DataFrame) -> DataFrame:
-    undated = fact.filter(F.col("order_date").isNull()).select("order_number", "customer_key", "sales_amount")
-    return dashboard.merge_tables(undated, customers.select("customer_key", "country"), "customer_key")
+    lines = fact.select("order_number", "customer_key", "sales_amount")
+    return dashboard.merge_tables(lines, customers.select("customer_key", "country"), "customer_key")
 
 
 def _append_tables(lines: DataFrame, orders: DataFrame) -> DataFrame:
