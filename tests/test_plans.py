@@ -159,6 +159,16 @@ def test_top_label_pairs_match_brute_force(spark, seed, hot, n, direct):
     assert got == wanted[:n]
 
 
+def test_copied_lines_are_never_broadcast(spark):
+    """The copies of a wide group's lines are larger than Spark's estimate of them."""
+    df = plans.distinct_lines(spark.range(400).selectExpr("'wide' as g", "id as i"), "g", "i")
+    pairs = plans.pair_counts(df.withColumn("_label", F.col("_item") % 3), block=8)
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in text.splitlines() if "_from" in line and "_to" in line and "Join" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert sum(r["times"] for r in pairs.collect()) == 400 * 399 // 2
+
+
 def test_pruning_leaves_out_weak_pairs(spark):
     """Two strong items in many groups, and one wide group of weak ones."""
     lines = [(f"o{i}", item) for i in range(200) for item in (1, 2)] + [("wide", item) for item in range(1, 300)]

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the number of the first day in 2000 that is a Sunday (2000-01-02).
+# A day that is a Sunday; weekday names are taken from the days after it.
 _A_SUNDAY = "2000-01-02"
 
 

@@ -108,7 +108,9 @@ def _wide_pairs(cut: DataFrame, volume: float, reachable: Column | None) -> Data
     every_block = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     as_first = cut.withColumn("_to", every_block).withColumnRenamed("_block", "_from")
     as_second = cut.withColumn("_from", every_block).withColumnRenamed("_block", "_to")
-    return _pairs(_spread(as_first, keys, volume), _spread(as_second, keys, volume), keys, reachable)
+    # Spark's size estimate does not know how far explode copies the lines, so no broadcast may be chosen by it
+    first, second = [_spread(df, keys, volume).hint("merge") for df in (as_first, as_second)]
+    return _pairs(first, second, keys, reachable)
 
 
 def _spread(df: DataFrame, keys: list[str], volume: float) -> DataFrame:
