@@ -20,65 +20,67 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
 def column_profile(tables: dict[str, DataFrame], table: str | None = None, approx: bool = False) -> DataFrame:
     """One row per column: position, type, NULLs and distinct values.
 
-    Distinct counts are exact unless ``approx`` is set. One scan per table: the
-    cells are turned into (column, value) rows, folded before the shuffle and
-    spread over both, so neither a frequent value nor a wide column is gathered.
+    Distinct counts are exact unless ``approx`` is set. Each column is read alone
+    and in its own type, so a stored columnar table is read once in total, and
+    its values are folded before the shuffle and spread by value, so a frequent
+    value weighs nothing. ``approx`` takes one pass over all columns.
     """
     chosen = tables if table is None else {table: tables[table]}
     profile = _approximate_profile if approx else _exact_profile
-    return reduce(DataFrame.unionByName, [profile(name, df) for name, df in chosen.items()]).orderBy(
-        "table_name", "ordinal_position"
-    )
+    return profile(chosen).orderBy("table_name", "ordinal_position")
 
 
-def _described(name: str, df: DataFrame, counts: DataFrame) -> DataFrame:
-    def by_column(values: dict[str, Column]) -> Column:
-        return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])[F.col("column_name")]
+_DESCRIPTION = ["table_name", "column_name", "ordinal_position", "data_type"]
 
-    fields = df.schema.fields
-    return counts.select(
-        F.lit(name).alias("table_name"),
-        "column_name",
-        by_column({f.name: F.lit(i) for i, f in enumerate(fields, start=1)}).alias("ordinal_position"),
-        by_column({f.name: F.lit(f.dataType.simpleString()) for f in fields}).alias("data_type"),
-        "null_count",
-        "distinct_count",
-    )
 
+def _described(name: str, df: DataFrame, position: int) -> list[Column]:
+    field = df.schema.fields[position]
+    values = (name, field.name, position + 1, field.dataType.simpleString())
+    return [F.lit(value).alias(column) for column, value in zip(_DESCRIPTION, values)]
 
-def _exact_profile(name: str, df: DataFrame) -> DataFrame:
-    cells = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot(
-        [], df.columns, "column_name", "value"
-    )
-    per_value = cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cells"))
-    # a table without rows has no cells, but its columns are still listed
-    listed = df.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("column_name"),
-        F.lit(None).cast("string").alias("value"),
-        F.lit(0).cast("bigint").alias("cells"),
-    )
-    counts = (
-        per_value.unionByName(listed)
-        .groupBy("column_name")
-        .agg(
-            F.sum(F.when(F.col("value").isNull(), F.col("cells")).otherwise(0)).alias("null_count"),
-            F.count("value").alias("distinct_count"),
+
+def _exact_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    parts = []
+    for name, df in tables.items():
+        # a table without rows has no values, but its columns are still listed
+        listed = [F.struct(*_described(name, df, i)) for i in range(len(df.columns))]
+        nothing = F.lit(0).cast("bigint")
+        parts.append(
+            df.sparkSession.range(1)
+            .select(F.inline(F.array(*listed)))
+            .withColumns({"nulls": nothing, "values": nothing})
         )
+        for i, column in enumerate(df.columns):
+            value = F.col("value")
+            per_value = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("cells"))
+            parts.append(
+                per_value.select(
+                    *_described(name, df, i),
+                    F.when(value.isNull(), F.col("cells")).otherwise(0).alias("nulls"),
+                    F.when(value.isNull(), 0).otherwise(1).cast("bigint").alias("values"),
+                )
+            )
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy(*_DESCRIPTION)
+        .agg(F.sum("nulls").alias("null_count"), F.sum("values").alias("distinct_count"))
     )
-    return _described(name, df, counts)
 
 
-def _approximate_profile(name: str, df: DataFrame) -> DataFrame:
-    one_row = df.agg(
-        *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls_{i}") for i, c in enumerate(df.columns)],
-        *[F.approx_count_distinct(c).alias(f"distinct_{i}") for i, c in enumerate(df.columns)],
-    )
-    entries = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(f"nulls_{i}").alias("null_count"),
-            F.col(f"distinct_{i}").alias("distinct_count"),
+def _approximate_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    def one_pass(name: str, df: DataFrame) -> DataFrame:
+        one_row = df.agg(
+            *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls_{i}") for i, c in enumerate(df.columns)],
+            *[F.approx_count_distinct(c).alias(f"distinct_{i}") for i, c in enumerate(df.columns)],
         )
-        for i, c in enumerate(df.columns)
-    ]
-    return _described(name, df, one_row.select(F.inline(F.array(*entries))))
+        entries = [
+            F.struct(
+                *_described(name, df, i),
+                F.col(f"nulls_{i}").alias("null_count"),
+                F.col(f"distinct_{i}").alias("distinct_count"),
+            )
+            for i in range(len(df.columns))
+        ]
+        return one_row.select(F.inline(F.array(*entries)))
+
+    return reduce(DataFrame.unionByName, [one_pass(name, df) for name, df in tables.items()])
