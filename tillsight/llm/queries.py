@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import curriculum, decontamination, quality, sharding, shingle_join
+from tillsight.llm import curriculum, decontamination, neighbours, pii, quality, sharding, shingle_join, tokens
+from tillsight.llm import toxicity, warc
+from tillsight.llm.shipping import ship_package
 from tillsight.plans.materialize import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,10 +27,32 @@ def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.decide_records(_table(spark, sf_dir, "pages"))
+    archives = warc.write_archives(records, warc.archive_folder(spark))
+    return warc.read_archives(archives, payload=False).select(
+        F.col("page").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"), "url",
+    )
+
+
 def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.shingle_classes(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels")
+    network = toxicity.train_on(docs, labels)
+    scored = materialize(toxicity.score_texts(docs, network, carry=["doc_id", "lang"]))
+    limits = toxicity.language_thresholds(scored, labels).withColumnRenamed("lang", "of")
+    return scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        (F.col("score") >= F.coalesce("threshold", F.lit(toxicity.THRESHOLD))).alias("flagged_for_language"),
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     featured = materialize(quality.document_features(docs, ["doc_id", "source", "lang"]))
@@ -38,6 +63,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_passages(docs, _table(spark, sf_dir, "benchmark"))
@@ -48,6 +78,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), "byte_bpe_50k.json")
+
+
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id", "source", curriculum.word_count(F.col("text")).alias("size"),
@@ -64,10 +98,34 @@ def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    digest = F.sha2(pii.span_text(base).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_feistel_shards, op3_shingle_join, op5_quality, op7_decontamination, op9_curriculum)
+    f.__name__: f
+    for f in (
+        op1_feistel_shards,
+        op2_warc,
+        op3_shingle_join,
+        op4_toxicity,
+        op5_quality,
+        op6_neighbours,
+        op7_decontamination,
+        op8_token_counts,
+        op9_curriculum,
+        op10_pii,
+    )
 }
 
 #: DuckDB statements over the views of the test tables.
