@@ -18,12 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.plans.materialize import materialize
 
-TABLES, PROJECTIONS, CELL, PROBES = 4, 8, 2.0, 160
+TABLES, PROJECTIONS, CELL = 4, 8, 2.0
+#: Buckets that a query visits in a table: as many as ``TRIALS`` queries need for ``RECALL``, ``MOST_PROBES`` at most.
+RECALL, TRIALS, MOST_PROBES = 0.95, 64, 3000
 #: Vectors that one task compares at once; a larger bucket is split.
 PART_ROWS = 4096
 _QUERY_BLOCK = 256
@@ -38,7 +40,7 @@ class Hashing:
     tables: int = TABLES
     projections: int = PROJECTIONS
     cell: float = CELL
-    probes: int = PROBES
+    probes: int = MOST_PROBES
     seed: int = 0
 
     def __post_init__(self) -> None:
@@ -176,6 +178,51 @@ def _nearest(width: int, k: int):
     return run
 
 
+def _exact(queries: np.ndarray, names: np.ndarray, width: int, k: int):
+    """The ``k`` best rows of every batch for a few queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, vectors = batch.column("id").to_numpy(), _matrix(batch.column("vector"), width)
+            scores = np.where(names[:, None] == ids[None, :], -np.inf, queries @ vectors.T)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            q, v = np.repeat(np.arange(len(names)), best.shape[1]), best.ravel()
+            some = np.isfinite(scores[q, v])
+            q, v = q[some], v[some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q), pa.array(scores[q, v]), batch.column("id").take(pa.array(v)), batch.column("vector").take(pa.array(v))],
+                ["query", "score", "id", "vector"],
+            )
+
+    return run
+
+
+def probes_needed(stored: DataFrame, asked: DataFrame, plan: Hashing, k: int, recall: float, trials: int) -> int:
+    """Probes a table that find ``recall`` of the true neighbours of ``trials`` queries, sought among all rows."""
+    some = asked.orderBy(F.xxhash64("id"), "id").limit(trials).toArrow()
+    if not some.num_rows:
+        return 1
+    names, queries = some.column("id").to_numpy(), _matrix(some.column("vector").combine_chunks(), plan.width)
+    best = stored.mapInArrow(
+        _exact(queries, names, plan.width, k), "query bigint, score double, id bigint, vector array<double>"
+    )
+    ranked = best.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+    true = ranked.where(F.col("nth") <= k).select("query", "vector").toArrow()
+    if not true.num_rows:
+        return 1
+    of = true.column("query").to_numpy()
+    places = plan.project(_matrix(true.column("vector").combine_chunks(), plan.width), query=False)
+    asked_at = plan.project(queries, query=True)
+    first = np.full(len(of), plan.probes)
+    for t in range(plan.tables):
+        visited = plan.visits(asked_at[t])
+        same = visited[of] == plan.bucket(np.floor(places[t]).astype(np.int64))[:, None]
+        first = np.minimum(first, np.where(same.any(axis=1), same.argmax(axis=1), plan.probes))
+    return min(plan.probes, int(np.quantile(first, recall, method="higher")) + 1)
+
+
 def usable_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """``(id, vector)`` as doubles, without vectors that are null, empty, zero or hold a null or non-finite component."""
     wide = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -193,6 +240,8 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 20,
+    recall: float = RECALL,
+    trials: int = TRIALS,
     **hashing: float,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for each row of ``queries`` among ``vectors``.
@@ -203,6 +252,9 @@ def nearest(
     is one query and a repeated vector id one vector (the first by value). A query
     that finds no candidate has no rows. Other columns are not read.
 
+    ``trials`` queries are compared with all rows first; they set the number of
+    probes that finds the share ``recall`` of their true neighbours, for all queries.
+
     Parts of about ``PART_ROWS`` vectors hold whole buckets; a larger bucket is
     split over several, all of which its queries visit. A part keeps ``k`` rows a
     query, so ties and hot buckets never widen the result.
@@ -216,6 +268,7 @@ def nearest(
     plan = Hashing(width, stored.agg(F.max(norm)).first()[0] or 1.0, **hashing)
     asked = usable_vectors(queries, key, vector).where(F.size("vector") == width)
     asked = materialize(asked.groupBy("id").agg(F.min("vector").alias("vector")))
+    plan.probes = probes_needed(stored, asked, plan, k, recall, trials)
 
     index = materialize(stored.mapInArrow(_index(plan), "table int, bucket bigint, id bigint, vector array<double>"))
     parts = max(1, -(-stored.count() // PART_ROWS))
