@@ -126,7 +126,24 @@ def _apply_slicers(orders: DataFrame) -> DataFrame:
     return dashboard.sales_by_place(dashboard.apply_slicers(months, chosen), "city")
 
 
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data operators; none where that subpackage is not installed."""
+    try:
+        import corpus_pipeline
+        from tillsight.llm.queries import ORACLE_SQL, QUERIES
+    except ModuleNotFoundError as missing:
+        if not (missing.name or "").startswith(("tillsight.llm", "corpus_pipeline")):
+            raise
+        return {}, {}
+    pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, {**ORACLE_SQL, **pipeline_sql}
+
+
 def queries() -> dict[str, Query]:
+    return _analytics() | _training_data()[0]
+
+
+def _analytics() -> dict[str, Query]:
     return {
         # profiles and data quality
         "table_profile": _table_profile,
@@ -239,7 +256,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_statements()
+    return oracle_statements() | _training_data()[1]
 
 
 def entry(spark: SparkSession) -> DataFrame:
