@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm import bloom
 from tillsight.llm import words as W
 from tillsight.llm.components import connected_components
 from tillsight.plans.materialize import materialize
@@ -117,22 +118,44 @@ def _node_batches(size: int, bands: int, band_rows: int):
     return run
 
 
-def _set_batches(size: int):
+def _set_batches(size: int, wanted: np.ndarray):
+    """Sets of the texts whose node and key may be ``wanted``: those that stand for a node in a cluster."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop, data, offsets in W.text_blocks(batch.column("text")):
                 _, hashes, edges, node = _sets(data, offsets, size)
                 rows = batch.slice(first, stop - first)
-                own = np.flatnonzero(node == rows.column("node").to_numpy())  # another text may bear the same key
+                key = rows.column("key").to_numpy().view(_U)
+                own = np.flatnonzero(bloom.may_hold(wanted, W.mix(node.view(_U) ^ key)))
                 sets = [hashes[edges[i] : edges[i + 1]].tobytes() for i in own]
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c).take(pa.array(own)) for c in ("cluster", "node", "n")), pa.array(sets, pa.binary())],
-                    ["cluster", "node", "n", "set"],
+                    [rows.column("row_id").take(pa.array(own)), pa.array(node[own]), pa.array(sets, pa.binary())],
+                    ["row_id", "node", "set"],
                 )
 
     return run
 
 
+def _shared_keys(wanted: np.ndarray):
+    """The keys of every node that may be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys").flatten().to_numpy()
+            nodes = np.repeat(batch.column("node").to_numpy(), np.diff(np.asarray(batch.column("keys").offsets)))
+            keep = bloom.may_hold(wanted, keys.view(_U))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(keys[keep])], ["node", "part"])
+
+    return run
+
+
+def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pair = W.mix(batch.column("node").to_numpy().view(_U) ^ batch.column("key").to_numpy().view(_U))
+        yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64))], ["pair"])
+
+
 class CountTree:
     """R-tree over group counts; level 0 holds the points, each level above boxes of ``FAN`` below."""
 
@@ -284,26 +307,30 @@ def shingle_classes(
         .agg(F.min("row_id").alias("least_id"), F.min("n_shingles").alias("n"))
     )
     chosen = nodes.join(classes.select("node", F.col("least_id").alias("row_id")), ["node", "row_id"], "left_semi")
-    dealt = materialize(chosen.select("node", "keys")).select("node", F.explode("keys").alias("part"))
+    dealt = materialize(chosen.select("node", "keys"))
+    parts = dealt.select("node", F.explode("keys").alias("part"))
     # min and max are merged before the shuffle; parts with one node go here
-    shared = dealt.groupBy("part").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far")
-    stars = dealt.join(shared.select("part", "hub"), "part").where("node != hub")
-    clusters = materialize(
+    shared = parts.groupBy("part").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far")
+    shared = materialize(shared.select("part", "hub"))
+    held = dealt.mapInArrow(_shared_keys(bloom.build(shared, "part")), "node bigint, part bigint")
+    stars = held.join(shared, "part").where("node != hub")
+    clusters = (
         connected_components(stars.select(F.col("hub").alias("u"), F.col("node").alias("v")))
         .withColumnRenamed("root", "cluster")
         .join(classes, "node")
-        .select("cluster", "node", "n", F.col("least_id").alias("row_id"))
+        .select("cluster", "node", "n", F.col("least_id").alias("row_id"), F.xxhash64("least_id").alias("key"))
     )
-    sets = materialize(
-        named.join(clusters, "row_id")
-        .select("cluster", "node", "n", "text")
-        .mapInArrow(_set_batches(size), "cluster bigint, node bigint, n bigint, set binary")
-        .dropDuplicates(["cluster", "node"])
+    sums = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    clusters = materialize(clusters.join(sums, "cluster"))
+    wanted = bloom.build(clusters.select("node", "key").mapInArrow(_pair_keys, "pair bigint"), "pair")
+    sets = (
+        named.withColumn("key", F.xxhash64("row_id"))
+        .mapInArrow(_set_batches(size, wanted), f"row_id {id_type}, node bigint, set binary")
+        .join(clusters, ["node", "row_id"])
+        .dropDuplicates(["node", "row_id"])
     )
-    blocks = sets.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     units = (
-        sets.join(blocks, "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         .select(
             "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
