@@ -27,7 +27,7 @@ TABLES, PROJECTIONS, CELL = 4, 8, 2.0
 #: Buckets that a query visits in a table: as many as ``TRIALS`` queries need for ``RECALL``, ``MOST_PROBES`` at most.
 RECALL, TRIALS, MOST_PROBES = 0.95, 64, 3000
 #: Vectors that one task compares at once; a larger bucket is split.
-PART_ROWS = 4096
+PART_ROWS = 8192
 _QUERY_BLOCK = 256
 
 
@@ -101,8 +101,17 @@ class Hashing:
         return np.stack(out, axis=1)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(-1, width)
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors that are stored as bytes."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float64).reshape(-1, width)
+
+
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("vector")
+        flat, edges = np.asarray(lists.flatten(), np.float64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        rows = [flat[a:z].tobytes() for a, z in zip(edges, edges[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], ["id", "vector"])
 
 
 def _index(hashing: Hashing):
@@ -121,21 +130,32 @@ def _index(hashing: Hashing):
     return run
 
 
-def _visits(hashing: Hashing):
+def _visits(hashing: Hashing, parts: int):
+    """A row for every part that a query visits, with the buckets it wants there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                places = hashing.project(_matrix(part.column("vector"), hashing.width), query=True)
+                asked = batch.slice(low, 512)
+                places = hashing.project(_matrix(asked.column("vector"), hashing.width), query=True)
                 for t in range(hashing.tables):
                     bucket = hashing.visits(places[t])
+                    query = np.repeat(np.arange(asked.num_rows), bucket.shape[1])
+                    home = np.repeat(bucket[:, 0] % parts, bucket.shape[1])
+                    flat = bucket.ravel()
+                    order = np.lexsort((flat % parts, query))
+                    query, part, flat, home = query[order], (flat % parts)[order], flat[order], home[order]
+                    first = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (part[1:] != part[:-1])])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(bucket.size, t, np.int32)),
-                            pa.array(bucket.ravel()),
-                            part.column("id").take(pa.array(np.repeat(np.arange(part.num_rows), bucket.shape[1]))),
+                            pa.array(np.full(len(first), t, np.int32)),
+                            pa.array(part[first]),
+                            pa.array(part[first] == home[first]),
+                            asked.column("id").take(pa.array(query[first])),
+                            asked.column("vector").take(pa.array(query[first])),
+                            pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)).astype(np.int32)), pa.array(flat)),
                         ],
-                        ["table", "bucket", "id"],
+                        ["table", "part", "home", "id", "vector", "buckets"],
                     )
 
     return run
@@ -147,11 +167,12 @@ def _nearest(width: int, k: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
             return schema.empty_table()
-        ids, vectors = rows.column("id").to_numpy(), _matrix(rows.column("vector").combine_chunks(), width)
+        ids, vectors = rows.column("id").to_numpy(), _matrix(rows.column("vector"), width)
         buckets, which = np.unique(rows.column("bucket").to_numpy(), return_inverse=True)
-        names, wanted = queries.column("id").to_numpy(), _matrix(queries.column("vector").combine_chunks(), width)
+        names, wanted = queries.column("id").to_numpy(), _matrix(queries.column("vector"), width)
         lists = queries.column("buckets").combine_chunks()
         edges, flat = np.asarray(lists.offsets), np.asarray(lists.flatten())
+        enough = queries.column("enough").to_numpy()
         out = []
         for low in range(0, len(names), _QUERY_BLOCK):
             high = min(low + _QUERY_BLOCK, len(names))
@@ -163,6 +184,7 @@ def _nearest(width: int, k: int):
             rough = np.where(visited[:, which], wanted[low:high] @ vectors.T, -np.inf)
             rough[names[low:high, None] == ids[None, :]] = -np.inf
             least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(high - low, -np.inf)
+            least = np.maximum(least, enough[low:high])  # what the query has found already
             q, v = np.nonzero((rough >= least[:, None] - 1e-9) & np.isfinite(rough))
             # the product again, each in the same order of addition, so that equal vectors tie
             score = (wanted[low + q] * vectors[v]).sum(axis=1)
@@ -204,16 +226,16 @@ def probes_needed(stored: DataFrame, asked: DataFrame, plan: Hashing, k: int, re
     some = asked.orderBy(F.xxhash64("id"), "id").limit(trials).toArrow()
     if not some.num_rows:
         return 1
-    names, queries = some.column("id").to_numpy(), _matrix(some.column("vector").combine_chunks(), plan.width)
+    names, queries = some.column("id").to_numpy(), _matrix(some.column("vector"), plan.width)
     best = stored.mapInArrow(
-        _exact(queries, names, plan.width, k), "query bigint, score double, id bigint, vector array<double>"
+        _exact(queries, names, plan.width, k), "query bigint, score double, id bigint, vector binary"
     )
     ranked = best.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
     true = ranked.where(F.col("nth") <= k).select("query", "vector").toArrow()
     if not true.num_rows:
         return 1
     of = true.column("query").to_numpy()
-    places = plan.project(_matrix(true.column("vector").combine_chunks(), plan.width), query=False)
+    places = plan.project(_matrix(true.column("vector"), plan.width), query=False)
     asked_at = plan.project(queries, query=True)
     first = np.full(len(of), plan.probes)
     for t in range(plan.tables):
@@ -224,15 +246,28 @@ def probes_needed(stored: DataFrame, asked: DataFrame, plan: Hashing, k: int, re
 
 
 def usable_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """``(id, vector)`` as doubles, without vectors that are null, empty, zero or hold a null or non-finite component."""
+    """``(id, vector, width, norm)``, without vectors that are null, empty, zero or hold a null or non-finite component.
+
+    The vector is stored as bytes of doubles; of several with one id, the first by bytes.
+    """
     wide = F.transform(F.col(vector), lambda x: x.cast("double"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return (
+    good = (
         vectors.select(F.col(key).cast("bigint").alias("id"), wide.alias("vector"))
         .where(F.col("id").isNotNull() & F.col("vector").isNotNull())
         .where(finite & F.exists("vector", lambda x: x != 0))
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _as_bytes(batches):
+            rows = [np.frombuffer(x.as_buffer(), np.float64) for x in batch.column("vector")]
+            width = pa.array([len(r) for r in rows], pa.int32())
+            norm = pa.array([float(np.sqrt((r * r).sum())) for r in rows], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, width, norm], ["id", "vector", "width", "norm"])
+
+    stored = good.mapInArrow(run, "id bigint, vector binary, width int, norm double")
+    return stored.groupBy("id").agg(F.min(F.struct("vector", "width", "norm")).alias("v")).select("id", "v.*")
+
 
 def nearest(
     vectors: DataFrame,
@@ -259,55 +294,71 @@ def nearest(
     split over several, all of which its queries visit. A part keeps ``k`` rows a
     query, so ties and hot buckets never widen the result.
     """
-    usable = usable_vectors(vectors, key, vector).groupBy("id").agg(F.min("vector").alias("vector"))
+    usable = usable_vectors(vectors, key, vector)
     stored = materialize(usable)
-    widths = stored.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = widths["width"] if widths else 1
-    stored = stored.where(F.size("vector") == width)
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    plan = Hashing(width, stored.agg(F.max(norm)).first()[0] or 1.0, **hashing)
-    asked = usable_vectors(queries, key, vector).where(F.size("vector") == width)
-    asked = materialize(asked.groupBy("id").agg(F.min("vector").alias("vector")))
+    widths = stored.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"))
+    most = widths.orderBy(F.desc("n"), "width").first()
+    width, norm = (most["width"], most["norm"]) if most else (1, 1.0)
+    stored = stored.where(F.col("width") == width).select("id", "vector")
+    plan = Hashing(width, norm, **hashing)
+    asked = materialize(usable_vectors(queries, key, vector).where(F.col("width") == width).select("id", "vector"))
     plan.probes = probes_needed(stored, asked, plan, k, recall, trials)
 
-    index = materialize(stored.mapInArrow(_index(plan), "table int, bucket bigint, id bigint, vector array<double>"))
+    index = stored.mapInArrow(_index(plan), "table int, bucket bigint, id bigint, vector binary")
     parts = max(1, -(-stored.count() // PART_ROWS))
-    large = (
-        index.groupBy("table", "bucket")
-        .count()
+    sizes = stored.mapInArrow(_index(plan), "table int, bucket bigint, id bigint, vector binary").groupBy("table", "bucket")
+    large = materialize(
+        sizes.count()
         .where(F.col("count") > PART_ROWS)
         .select("table", "bucket", F.ceil(F.col("count") / PART_ROWS).alias("pieces"))
     )
-
-    def part(piece: Column) -> Column:
-        return F.pmod(F.xxhash64("table", "bucket", piece), F.lit(parts)).cast("int")
-
-    pieces = F.coalesce(F.col("pieces"), F.lit(1))
-    rows = index.join(large, ["table", "bucket"], "left").select(
-        "table", part(F.pmod(F.xxhash64("id"), pieces)).alias("part"), "bucket", "id", "vector"
+    # a bucket lies in the part of its number, a large one in the parts from there on
+    piece = F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0))
+    rows = materialize(
+        index.join(large, ["table", "bucket"], "left").select(
+            "table", F.pmod(F.col("bucket") + piece, F.lit(parts)).alias("part"), "bucket", "id", "vector"
+        )
     )
-    visits = (
-        asked.mapInArrow(_visits(plan), "table int, bucket bigint, id bigint")
-        .join(large, ["table", "bucket"], "left")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
-        .select("table", part(F.col("piece")).alias("part"), "bucket", "id")
-        .groupBy("table", "part", "id")
-        .agg(F.collect_set("bucket").alias("buckets"))  # at most the probes of a table
-        .join(asked, "id")
-        .select("table", "part", "id", "vector", "buckets")
+    visits = materialize(
+        asked.mapInArrow(
+            _visits(plan, parts),
+            "table int, part bigint, home boolean, id bigint, vector binary, buckets array<bigint>",
+        )
     )
-    found = (
-        visits.groupBy("table", "part")
-        .cogroup(rows.groupBy("table", "part"))
-        .applyInArrow(_nearest(width, k), "query_id bigint, vec_id bigint, score double")
+    further = (
+        visits.select("table", "part", "home", "id", "vector", F.explode("buckets").alias("bucket"))
+        .join(large, ["table", "bucket"])
+        .withColumn("piece", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("pieces") - 1)))
+        .withColumn("part", F.pmod(F.col("bucket") + F.col("piece"), F.lit(parts)))
+        .groupBy("table", "part", "id")
+        .agg(F.first("vector").alias("vector"), F.collect_set("bucket").alias("buckets"))  # at most a table's probes
+        .select("table", "part", F.lit(False).alias("home"), "id", "vector", "buckets")
     )
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    # at most k rows of every part that a query visits
-    best = merged.groupBy("query_id").agg(
-        F.slice(
-            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, k
-        ).alias("best")
+
+    def compare(asking: DataFrame) -> DataFrame:
+        return (
+            asking.groupBy("table", "part")
+            .cogroup(rows.groupBy("table", "part"))
+            .applyInArrow(_nearest(width, k), "query_id bigint, vec_id bigint, score double")
+        )
+
+    def best(found: DataFrame) -> DataFrame:
+        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        far = F.struct((-F.col("score")).alias("far"), "vec_id", "score")
+        # at most k rows of each part that a query visits
+        return merged.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(far)), 1, k).alias("best"))
+
+    # the parts with the queries' own buckets first: what they yield bounds what the others need to return
+    at_home = visits.where("home").withColumn("enough", F.lit(float("-inf")))
+    near = materialize(best(compare(at_home)))
+    bound = near.where(F.size("best") == k).select(
+        F.col("query_id").alias("id"), F.element_at("best", k)["score"].alias("enough")
     )
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select(
-        "query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", "b.score"
+    abroad = visits.where("not home").unionByName(further).join(bound, "id", "left")
+    rest = compare(abroad.withColumn("enough", F.coalesce("enough", F.lit(float("-inf")))))
+    first = near.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score")
+    return (
+        best(first.unionByName(rest))
+        .select("query_id", F.posexplode("best").alias("rank", "b"))
+        .select("query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", "b.score")
     )
