@@ -1,0 +1,419 @@
+"""Sharding, archives, scores, neighbours, mixing and the pipeline against plain Python."""
+
+from __future__ import annotations
+
+import io
+import random
+import struct
+import zipfile
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from checks.compare import connect, difference
+from tests.llm import brute
+from tillsight.llm import curriculum, neighbours, quality, queries, sharding, toxicity, warc
+from tillsight.llm.components import connected_components
+
+
+# ---- components ----
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3), (205, 203), (204, 203)]
+    got = connected_components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == {
+        **{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 130)}, 203: 203, 204: 203, 205: 203,
+    }
+    assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+# ---- sharding ----
+
+
+def spark_hash(x: int, key: int) -> int:
+    seed = 42
+    for v in (x, key):
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+    return seed - (seed >> 63 << 64)
+
+
+def place_of(x: int, rows: int, seed: int) -> int:
+    a, b = sharding._sides(rows)
+    while True:
+        left, right = x % a, x // a
+        for k in range(sharding.ROUNDS):
+            left = (left + spark_hash(right, seed * 1_000_003 + k)) % a
+            right = (right + spark_hash(left, seed * 1_000_003 + k)) % b
+        x = right * a + left
+        if x < rows:
+            return x
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 7, 10, 100, 1013])
+def test_places_are_a_permutation_that_anyone_can_compute(spark, rows):
+    at = sharding.place(spark, F.col("id"), rows, seed=3)
+    got = [r["at"] for r in spark.range(rows).select("id", at.alias("at")).orderBy("id").collect()]
+    assert sorted(got) == list(range(rows)) and got == [place_of(i, rows, 3) for i in range(rows)]
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    rows = [(i if i % 3 else None, f"t{i % 50}", i) for i in range(500)] + [(1, "t1", 1)] * 9
+    frame = spark.createDataFrame(rows, "doc_id long, text string, shard long")
+    sizes = [sharding.shard_rows(d, ["doc_id", "text"], 8) for d in (frame, frame.repartition(13, "text"))]
+    one, two = [Counter((r["doc_id"], r["text"], r["place"], r["shard"], r["slot"]) for r in d.collect()) for d in sizes]
+    assert one == two and len(one) == 509
+    counts = Counter(s for _, _, _, s, _ in one)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    for shard, n in counts.items():
+        assert sorted(k[4] for k in one if k[3] == shard) == list(range(n))
+    assert sharding.shard_rows(frame.limit(0), ["doc_id"], 8).collect() == []
+
+
+def test_sharding_query(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries.op1_feistel_shards(spark, sf_dir).collect()
+    assert len(got) == len(texts) and {r["law"] for r in got} == {"rows"}
+    for r in got:
+        body = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(body) + 1, zlib.crc32(body)) and r["grown_shard"] is None
+    null = sharding.document_sizes(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
+    assert tuple(null) == (1, 1, 0)
+
+
+# ---- archives ----
+
+
+def test_archive_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "UNIT_RECORDS", 3)
+    monkeypatch.setattr(warc, "READ_BYTES", 600)
+    rows = [(i, f"http://h/{i}", f"<p>é {i % 4} \r\n\r\n{'x' * (i % 4) * 50}</p>", "z") for i in range(20)]
+    rows += [(50, None, None, "z"), (51, "", "", "z"), (None, "u", "lonely", "z"), (None, "u", rows[0][2], "z"), (60, "r", "twice", "z"), (60, "r", "twice", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, leads string")
+    archives = warc.write_archives(warc.decide_records(pages), f"file://{tmp_path}/a")
+    got = warc.read_archives(archives).collect()
+    assert len(got) == len(rows)
+    leaders: dict[str, int] = {}
+    for i, _, h, _ in rows:
+        leaders[h or ""] = max(leaders.get(h or "", -1), -1 if i is None else i)
+    want = Counter()
+    for i, u, h, _ in rows:
+        body, leader = (h or "").encode(), leaders[h or ""]
+        leads = leader == -1 or leader == i
+        want[(str(i) if i is not None else None, u or None, "response" if leads else "revisit", warc.payload_digest(body), len(body), None if leads else str(leader), body if leads else None)] += 1
+    assert Counter((*r[:6], None if r["payload"] is None else bytes(r["payload"])) for r in got) == want
+    small = warc.decide_records(pages, least_bytes=10**6).collect()
+    assert all(r["leads"] for r in small)
+    empty = warc.write_archives(warc.decide_records(pages.limit(0)), f"file://{tmp_path}/b")
+    assert warc.read_archives(empty).collect() == []
+
+
+def test_directories_with_zip64_fields(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 400)
+    for limit in (None, 100):  # a small limit makes the writer use the ZIP64 records throughout
+        if limit:
+            monkeypatch.setattr(zipfile, "ZIP64_LIMIT", limit)
+            monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
+        target = io.BytesIO()
+        target.close_ = target.close
+        target.close = lambda: None
+        writer = warc.ArchiveWriter(target)
+        for i in range(12):
+            writer.add(i, warc.make_record(i, "u", b"payload %d" % i, warc.payload_digest(b"payload %d" % i), 9, None))
+        writer.close()
+        raw = target.getvalue()
+        file = pa.BufferReader(raw)
+        members = {m.name: m for m in warc.read_directory(file, len(raw))}
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            assert {i.filename for i in z.infolist()} == set(members) and len(members) > 3
+            for name, m in members.items():
+                at = warc.data_start(file, m)
+                assert raw[at : at + m.size] == z.read(name)
+        assert (b"PK\x06\x06" in raw) == bool(limit)
+
+
+def test_broken_archives_are_refused():
+    with pytest.raises(ValueError, match="end of central directory"):
+        warc.read_directory(pa.BufferReader(b"no archive"), 10)
+    with pytest.raises(ValueError, match="cut off"):
+        warc.parse_record(warc.make_record(1, "u", b"abc", "X", 3, None)[:-6])
+
+
+# ---- toxicity ----
+
+
+def toxic_rows(seed, n):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        body = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(1, 120))]
+        toxic = i % 8 == 0
+        if toxic:
+            for _ in range(2):
+                body.insert(rng.randrange(len(body) + 1), rng.choice(["badoo", "stinka"]) + rng.choice(["", "x", "yu", "ish"]))
+        rows.append((i, " ".join(body), rng.choice(["en", "fr", None]), int(toxic)))
+    return rows
+
+
+def test_network_finds_toxic_stems_in_texts_it_has_not_seen(spark):
+    rows = toxic_rows(1, 1200)
+    frame = spark.createDataFrame([(i, t, lang, 0.5) for i, t, lang, _ in rows], "doc_id long, text string, lang string, score double")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows] + [(None, 1), (3, None), (10**6, 1)], "doc_id long, toxic int")
+    net = toxicity.train_on(frame, labels)
+    scored = toxicity.score_texts(frame, net, carry=["doc_id", "lang"])
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    held = [(got[i], y) for i, _, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(held) > 200 and sum((s >= 0.3) == bool(y) for s, y in held) / len(held) > 0.95
+    flags = frame.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in flags)
+    limits = toxicity.language_thresholds(scored, labels).collect()
+    assert {r["lang"] for r in limits} == {"en", "fr", None} and all(0 <= r["threshold"] <= 1 for r in limits)
+    # the score depends on the text only
+    moved = frame.withColumn("doc_id", F.col("doc_id") + 7).withColumn("lang", F.lit("xx"))
+    assert {r["doc_id"] - 7: r["score"] for r in toxicity.score_texts(moved, net, carry=["doc_id"]).collect()} == got
+
+
+def test_scores_of_odd_texts_and_tables(spark):
+    frame = spark.createDataFrame([(1, None), (2, ""), (3, "!!!"), (4, "x"), (5, "badoo " * 30000)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(frame, toxicity.train_on(frame, none)).collect()}
+    assert len(got) == 5 and all(0 <= s <= 1 for s in got.values()) and got[1] == got[2] == got[3]
+    assert toxicity.score_texts(frame.limit(0), toxicity.train_on(frame.limit(0), none)).collect() == []
+
+
+def test_filters_do_not_see_across_texts():
+    rng = np.random.default_rng(0)
+    net = toxicity.Network.start(rng.normal(0, 1, toxicity.SLOTS).astype(np.float32))
+    texts = [" ".join(f"w{rng.integers(50)}" for _ in range(n)) for n in (1, 2, 5, 0, 9)]
+
+    def logits(rows):
+        return [
+            x for _, _, data, offsets in toxicity.W.text_blocks(pa.array(rows, pa.string()))
+            for x in net.logits(toxicity.W.split(data, offsets, toxicity.W.ALPHANUMERIC))
+        ]
+
+    assert np.allclose(logits(texts), [logits([t])[0] for t in texts], atol=1e-5)
+    slots = toxicity.word_slots(toxicity.W.split(np.frombuffer(texts[4].encode(), np.uint8), np.array([0, len(texts[4])]), toxicity.W.ALPHANUMERIC))
+    pooled = np.maximum(net.responses(slots)[0].max(axis=0), 0)
+    assert np.isclose(pooled @ net.out + net.out_bias, logits(texts)[4], atol=1e-5)
+
+
+# ---- quality ----
+
+
+def test_quality_separates_the_labelled_documents(spark, sf_dir):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    got = {r["doc_id"]: r["keep"] for r in queries.op5_quality(spark, sf_dir).collect()}
+    right = [got[i] == bool(q) for i, q in labels.items()]
+    assert sum(right) / len(right) > 0.97
+
+
+def test_sparse_sites_are_shrunk_and_exclude_the_document_itself(spark):
+    rows = [(i, f"h{i % 3}", f"p{i % 6}", 0.9 if i % 3 else 0.2) for i in range(300)] + [(900, "new", "q", 0.1), (901, None, None, 0.5)]
+    scored = spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double")
+    sites = quality.site_sums(scored, "host", "path")
+    prior = quality.shrinkage(sites)
+    got = {r["doc_id"]: r for r in quality.combine(scored, sites, prior, "host", "path").collect()}
+    mean = sum(e for *_, e in rows) / len(rows)
+    assert abs(prior.mean - mean) < 1e-9 and prior.host < 10  # hosts differ far more than documents within
+    assert abs(got[900]["path_rate"] - mean) < 1e-6  # alone at its site: nothing but the global mean
+    assert abs(got[901]["path_rate"] - mean) < 1e-6
+    sums, n = defaultdict(float), Counter()
+    for _, h, _, e in rows:
+        sums[h] += e
+        n[h] += 1
+    for i, h, _, e in rows[:9]:
+        want = (sums[h] - e + prior.host * mean) / (n[h] - 1 + prior.host)
+        assert abs(got[i]["host_rate"] - want) < 1e-9
+    alike = scored.withColumn("evidence", F.lit(0.7))
+    assert quality.shrinkage(quality.site_sums(alike, "host", "path")).host > 1e6
+
+
+def test_quality_of_odd_texts_and_tables(spark):
+    frame = spark.createDataFrame(
+        [(1, None, None, "en", 0.1), (2, "", "s", None, 0.1), (None, "a b", "s", "en", 0.1), (4, "x " * 50000, "s", "en", 0.1), (4, "x", "s", "en", 0.1)],
+        "doc_id long, text string, source string, lang string, evidence double",
+    )
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    one_class = spark.createDataFrame([(4, 1), (4, None)], "doc_id long, quality int")
+    for labels in (none, one_class):
+        featured = quality.document_features(frame, ["doc_id", "source", "lang", "evidence"])
+        got = quality.learn(featured, labels).score(featured).collect()
+        assert len(got) == 5 and all(0 < r["quality_score"] < 1 for r in got)
+    empty = quality.document_features(frame.limit(0), ["doc_id", "source", "lang"])
+    assert quality.learn(empty, none).score(empty).collect() == []
+
+
+# ---- neighbours ----
+
+
+def exact_neighbours(rows, queries_, k):
+    good = {i: np.array(v, float) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for q in queries_:
+        if q in good:
+            ranked = sorted((-float((good[q] * v).sum()), i) for i, v in good.items() if i != q)
+            out[q] = [(i, -s) for s, i in ranked[:k]]
+    return out
+
+
+def test_neighbours_of_a_hot_vector_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 50)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(16) * rng.uniform(0.5, 2)]) for i in range(400)]
+    rows[3] = (3, [4 * x for x in rows[3][1]])
+    rows += [(i, rows[3][1]) for i in range(400, 700)]  # nearly half are one vector
+    rows += [(800, None), (801, [0.0] * 16), (802, [float("nan")] * 16), (803, [None] * 16), (804, []), (805, [1.0]), (806, [float("inf")] * 16)]
+    frame = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id long, embedding array<double>, id int")
+    asked = frame.where("vec_id % 20 = 0 or vec_id = 3")
+    got = defaultdict(list)
+    for r in neighbours.nearest(frame, asked, k=10).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r["query_id"]]) + 1
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = exact_neighbours([r for r in rows if r[0] not in (804, 805)], [i for i, _ in rows if i % 20 == 0 or i == 3], 10)
+    assert set(got) == set(want)
+    recall = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]
+    assert np.mean(recall) >= 0.9
+    assert [i for i, _ in got[400]] == [i for i, _ in want[400]] == [3, *range(401, 410)]
+    assert all(abs(s - dict(want[q]).get(i, s)) < 1e-12 for q in want for i, s in got[q])
+    assert neighbours.nearest(frame.limit(0), asked.limit(0)).collect() == []
+    assert len(neighbours.nearest(frame.limit(3), frame.limit(1), k=10).collect()) == 2
+
+
+def test_neighbour_query_reaches_the_recall(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want = exact_neighbours(rows, [i for i, _ in rows if i % 20 == 0], 20)
+    got = defaultdict(set)
+    for r in queries.op6_neighbours(spark, sf_dir).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert np.mean([len(got[q] & {i for i, _ in v}) / len(v) for q, v in want.items()]) >= 0.9
+
+
+# ---- mixing ----
+
+
+def water_fill(sizes, weights, repeats):
+    share, total, capped = {}, sum(sizes.values()), set()
+    while True:
+        left = total - sum(repeats * sizes[s] for s in capped)
+        rest = sum(weights[s] for s in sizes if s not in capped)
+        share = {s: repeats * sizes[s] if s in capped else left * weights[s] / rest for s in sizes}
+        over = {s for s in sizes if s not in capped and share[s] > repeats * sizes[s]}
+        if not over:
+            return share
+        capped |= over
+
+
+def mixed(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string, target string")
+    sized = frame.withColumn("size", curriculum.word_count(F.col("text"))).withColumn("order", curriculum.stream_order(F.col("doc_id"), F.col("text")))
+    sources = curriculum.targets(curriculum.weigh_by_rank(curriculum.source_sizes(sized)))
+    return curriculum.mix(sized, sources), sources
+
+
+def test_mixing_meets_the_targets(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", "d", None]), "w " * rng.randrange(40), "t") for i in range(400)]
+    rows += [(500, "e", "one two", "t"), (501, "z", "", "t"), (502, "z", None, "t"), (1, "a", "same id", "t"), (503, "b", "r e p", "t"), (503, "b", "r e p", "t")]
+    frame, plan = mixed(spark, rows)
+    sizes = Counter()
+    for _, s, t, _ in rows:
+        sizes[s] += len(brute.words(t))
+    weights = {s: k % 3 + 1 for k, s in enumerate([*sorted(s for s in sizes if s is not None), None])}
+    want = water_fill(sizes, weights, 3)
+    assert {r["source"]: round(r["target"], 6) for r in plan.collect()} == {s: round(t, 6) for s, t in want.items()}
+    taken, got = Counter(), frame.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        words = sum(c["words"] for c in r["copies"])
+        assert 0 <= words <= 3 * r["size"] and r["target"] == pytest.approx(want[r["source"]])
+        assert all(0 <= c["position"] <= 1 for c in r["copies"])
+        taken[r["source"]] += words
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
+    order = [r["position"] for r in curriculum.training_order(frame).collect()]
+    assert order == sorted(order) and len(order) == sum(len(r["copies"]) for r in got)
+
+
+def test_mixing_empty_tables(spark):
+    assert mixed(spark, [])[0].collect() == []
+    frame, _ = mixed(spark, [(1, "a", None, "t"), (2, None, "", "t")])
+    assert [r["copies"] for r in frame.collect()] == [[], []]
+
+
+def test_positions_invert_the_demand(spark):
+    for schedule in curriculum.SCHEDULES:
+        parts = [i / 50 for i in range(50)]
+        frame = spark.createDataFrame([(p,) for p in parts], "p double")
+        at = [r["t"] for r in frame.select("p", curriculum.demand_met(F.col("p"), schedule).alias("t")).orderBy("p").collect()]
+        steps = np.linspace(0, 1, 200_001)
+        rate = np.interp(steps, *zip(*schedule))
+        done = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+        assert np.allclose(np.interp(at, steps, done / done[-1]), parts, atol=1e-6)
+
+
+# ---- queries and pipeline ----
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, sf_dir, name):
+    assert difference(spark, connect(sf_dir), queries.QUERIES[name], queries.ORACLE_SQL[name], sf_dir) is None
+
+
+def test_shingle_and_archive_queries(spark, sf_dir):
+    documents = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op3_shingle_join(spark, sf_dir).collect()}
+    assert got == brute.shingle_classes(documents, 3, 90)
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for r in queries.op2_warc(spark, sf_dir).collect():
+        body = (pages[r["page_id"]] or "").encode()
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(body), warc.payload_digest(body))
+        assert (r["record_type"] == "revisit") == (r["refers_to"] is not None)
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    # rows that repeat others, and odd ones
+    extra = docs.limit(3).unionByName(spark.createDataFrame([(9001, None, None, None, 0), (None, "", "en", "src1", 0)], docs.schema))
+    docs = docs.unionByName(extra)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.materialize(stage(spark, docs, sf_dir))
+        kept[name] = [tuple(r) for r in before.select(*columns).collect()], [tuple(r) for r in docs.select(*columns).collect()]
+        assert docs.columns[: len(columns)] == columns
+    before, after = kept["quality"]
+    assert sum((i in {r[0] for r in after}) == bool(q) for i, q in labels.items()) / len(labels) > 0.97
+    before, after = kept["near_copies"]
+    classes = brute.shingle_classes([(r[0], r[1]) for r in before if r[0] is not None], 5, 80)
+    assert sorted(r[0] for r in after if r[0] is not None) == sorted(i for i, (_, c) in classes.items() if i == c)
+    before, after = kept["decontamination"]
+    clean = [r for r in before if not brute.passages(r[1], items, 10)[1]]
+    assert Counter(after) == Counter(clean)
+    before, after = kept["mixing"]
+    sizes = Counter()
+    for r in before:
+        sizes[r[3]] += len(brute.words(r[1]))
+    names = [*sorted(s for s in sizes if s is not None), *([None] if None in sizes else [])]
+    want = water_fill(sizes, {s: k % 3 + 1 for k, s in enumerate(names)}, 3)
+    uses = Counter(after)
+    assert set(uses) <= set(before) and max(uses.values()) <= 3 * max(Counter(before).values())
+    for s, target in want.items():
+        longest = max(len(brute.words(r[1])) for r in before if r[3] == s)
+        assert 0 <= sum(len(brute.words(r[1])) for r in after if r[3] == s) - target < longest + 1
+    before, after = kept["sharding"]
+    assert Counter(before) == Counter(after)
+    places = [r["place"] for r in docs.collect()]
+    assert sorted(places) == list(range(len(places)))
+
+
+def test_pipeline_runs_and_repeats(spark, sf_dir):
+    one, two = [sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "place", "shard", "slot").collect())) for _ in range(2)]
+    assert one == two and one

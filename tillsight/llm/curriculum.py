@@ -146,7 +146,7 @@ def mix(
     def use(epoch: Column) -> Column:
         begin = epoch * F.col("source_size") + F.col("__start")
         words = F.least(begin + F.col(size), cut) - F.least(begin, cut)
-        part = begin.cast("double") / F.col("target")
+        part = begin.cast("double") / F.nullif(F.col("target"), F.lit(0.0))
         position = F.lit(None).cast("double")
         for i, schedule in enumerate(schedules):
             position = F.when(F.col("__schedule") == i, demand_met(part, schedule)).otherwise(position)
