@@ -140,10 +140,11 @@ def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
 
 
 def queries() -> dict[str, Query]:
-    return _analytics() | _training_data()[0]
+    return analytics() | _training_data()[0]
 
 
-def _analytics() -> dict[str, Query]:
+def analytics() -> dict[str, Query]:
+    """The queries of the rest of the package."""
     return {
         # profiles and data quality
         "table_profile": _table_profile,
