@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillsight.llm import words as W
+from tillsight.plans.materialize import materialize
 
 #: Labelled documents that the classifier is fitted on at most, those with the smallest key hashes.
 SAMPLE = 20_000
@@ -152,10 +153,15 @@ class Shrinkage:
 
 
 def site_sums(scored: DataFrame, host: str, path: str) -> DataFrame:
-    """``(host, path, n, s, ss)``: documents, sum of scores and of their squares; nulls are a site."""
-    return scored.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(
+    """``(host, path, n, s, ss)``: documents, sum of scores and of their squares; nulls are a site.
+
+    Stored, so that Spark knows its size when documents are joined with it.
+    """
+    sums = scored.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(
         F.count(F.lit(1)).alias("__n"), F.sum("evidence").alias("__s"), F.sum(F.col("evidence") ** 2).alias("__ss")
     )
+    hosts = sums.groupBy(F.col("__host").alias("__h")).agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"))
+    return materialize(sums.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).drop("__h"))
 
 
 def shrinkage(sites: DataFrame) -> Shrinkage:
@@ -192,8 +198,7 @@ def shrinkage(sites: DataFrame) -> Shrinkage:
 
 def combine(scored: DataFrame, sites: DataFrame, prior: Shrinkage, host: str, path: str) -> DataFrame:
     """``scored`` (with ``evidence``) with ``host_rate``, ``path_rate`` and ``quality_score``."""
-    hosts = sites.groupBy(F.col("__host").alias("__h")).agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"))
-    sums = sites.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).drop("__ss", "__h")
+    sums = sites.drop("__ss")
     own, mean = F.col("evidence"), F.lit(float(prior.mean))
     # without the document itself
     host_rate = (F.col("__hs") - own + F.lit(float(prior.host)) * mean) / (F.col("__hn") - 1 + F.lit(float(prior.host)))
