@@ -126,13 +126,15 @@ def mix(
     plan = sources.select(
         F.col("source").alias("__source"), "source_size", "target", F.col("schedule").alias("__schedule")
     )
-    dealt = docs.withColumn("__part", F.substring(F.col(order), 1, 3))
-    sums = dealt.groupBy(F.col(source).alias("__of"), F.col("__part").alias("__p")).agg(F.sum(size).alias("__words"))
-    before = F.sum("__words").over(Window.partitionBy("__of").orderBy("__p")) - F.col("__words")
-    starts = sums.select("__of", "__p", before.alias("__before"))
-    within = Window.partitionBy(source, "__part").orderBy(order, *[c for c in docs.columns if c == "doc_id"], size)
+    # the source as a key without null, so that the join and the window deal the documents out alike, once
+    known = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    dealt = docs.withColumn("__of", known).withColumn("__part", F.substring(F.col(order), 1, 3))
+    sums = dealt.groupBy("__of", "__part").agg(F.sum(size).alias("__words"))
+    before = F.sum("__words").over(Window.partitionBy("__of").orderBy("__part")) - F.col("__words")
+    starts = sums.select("__of", "__part", before.alias("__before"))
+    within = Window.partitionBy("__of", "__part").orderBy(order, *[c for c in docs.columns if c == "doc_id"], size)
     placed = (
-        dealt.join(starts, F.col(source).eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__p")))
+        dealt.join(starts, ["__of", "__part"])
         .withColumn(
             "__start",
             F.col("__before")
@@ -156,7 +158,7 @@ def mix(
         F.array(*[use(F.lit(e).cast("bigint")) for e in range(repeats)]), lambda c: F.coalesce(c["words"], F.lit(0)) > 0
     )
     return placed.withColumn("copies", uses).drop(
-        "__part", "__of", "__p", "__before", "__start", "__source", "__schedule"
+        "__part", "__of", "__before", "__start", "__source", "__schedule"
     )
 
 
