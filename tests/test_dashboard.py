@@ -47,6 +47,39 @@ def test_attach_calendar_fills_quiet_days(spark):
     assert got == [(D(2024, 1, 1), "Monday", 1, 5), (D(2024, 1, 2), "Tuesday", 0, 0), (D(2024, 1, 3), "Wednesday", 2, 8)]
 
 
+def test_attach_calendar_keeps_facts_it_cannot_place(spark):
+    df = spark.createDataFrame([("2020-01-01", None), ("2020-01-03", 2), (None, 5), (None, 6)], "d string, x int")
+    df = df.withColumn("d", F.col("d").cast("date"))
+    calendar = dashboard.calendar_table(df, "d").where("date < '2020-01-03'")
+    got = rows(dashboard.attach_calendar(df, calendar, "d", {"n": F.count("*"), "s": F.sum("x")}), "date", "n", "s")
+    dated = {(str(d), n, x) for d, n, x in got if d}
+    assert dated == {("2020-01-01", 1, None), ("2020-01-02", 0, 0)}
+    assert sorted((n, x) for d, n, x in got if d is None) == [(1, 2), (2, 11)]
+
+
+@pytest.mark.parametrize(
+    "values,mean",
+    [([4e-7, 4e-7], 4e-7), ([1e15, 3e15], 2e15), ([1e300, 1e300], 1e300), ([None, 2.0], 2.0), ([None], None),
+     ([float("inf"), 1.0], float("inf")), ([float("nan"), 1.0], float("nan"))],
+)
+def test_means_of_doubles_are_plain_means(spark, values, mean):
+    df = spark.createDataFrame([(i, v, 1, "a") for i, v in enumerate(values)], "patient_id int, wait_minutes double, satisfaction int, department string")
+    for got in (rows(dashboard.er_kpis(df), "avg_wait_minutes"), rows(dashboard.wait_by(df, ["department"]), "avg_wait_minutes")):
+        assert str(got[0][0]) == str(mean)
+
+
+def test_import_reads_quoted_line_breaks(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tillsight.sources.files import read_csv
+
+    (tmp_path / "x.csv").write_text('city,n\n"A\nB",1\n"say ""hi"", ok",2\nC,many\n')
+    schema = T.StructType([T.StructField("city", T.StringType()), T.StructField("n", T.IntegerType())])
+    got = read_csv(spark, str(tmp_path / "x.csv"), schema, multi_line=True).collect()
+    assert [(r["city"], r["n"]) for r in got] == [("A\nB", 1), ('say "hi", ok', 2), ("C", None)]
+    assert [r["_corrupt_record"] is None for r in got] == [True, True, False]
+
+
 def test_merge_append_slice_pivot(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k int, v string")
     b = spark.createDataFrame([(1, 10), (1, 11), (3, 30), (None, 0)], "k int, w int")

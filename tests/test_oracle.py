@@ -38,6 +38,15 @@ def test_comparison_notices_differences(spark, con, sf_dir):
     assert difference(spark, con, QUERIES["kpi_total_orders"], retyped, sf_dir) is not None
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_no_order_line_is_left_out(spark, scale):
+    from tillsight.sources import bench_tables as t
+
+    folder = f"/root/testdata/{scale}"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert t.fact_sales(spark, folder).count() == t.pizza_sales(spark, folder).count() == lines
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 

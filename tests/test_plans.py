@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tillsight import plans
-from tillsight.plans import tiles
 
 
 def ntile(ordered, k):
@@ -28,45 +27,46 @@ def ntile(ordered, k):
 
 
 @pytest.mark.parametrize("count", [0, 1, 3, 4, 5, 6, 11, 1000])
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_exact_tiles_match_definition(spark, count, limit):
+@pytest.mark.parametrize("ranges", [2, 64])
+def test_exact_tiles_match_definition(spark, count, ranges):
     rng = random.Random(count)
-    data = [(i, rng.choice([1, 1, 1, 2, 7, None])) for i in range(count)]
-    df = spark.createDataFrame(data, "id long, m int").repartition(5)
-    orders = {
-        "up": [F.col("m").asc_nulls_first(), F.col("id")],
-        "down": [F.col("m").desc_nulls_last(), F.col("id")],
-    }
-    got = {r["id"]: (r["up"], r["down"]) for r in plans.exact_tiles(df, orders, 4, single_task_rows=limit).collect()}
+    data = [(i, rng.choice([1, 1, 1, 2, 7, None]), rng.random()) for i in range(count)]
+    df = spark.createDataFrame(data, "id long, m int, x double").repartition(5)
+    measures = {"up": ("m", True), "down": ("m", False), "fine": ("x", True)}
+    got = {r["id"]: (r["up"], r["down"], r["fine"]) for r in plans.exact_tiles(df, measures, "id", 4, ranges).collect()}
     low = lambda m: -1 if m is None else m
-    up = ntile([i for i, _ in sorted(data, key=lambda r: (low(r[1]), r[0]))], 4)
-    down = ntile([i for i, _ in sorted(data, key=lambda r: (-low(r[1]), r[0]))], 4)
-    assert got == {i: (up[i], down[i]) for i, _ in data}
+    up = ntile([i for i, _, _ in sorted(data, key=lambda r: (low(r[1]), r[0]))], 4)
+    down = ntile([i for i, _, _ in sorted(data, key=lambda r: (-low(r[1]), r[0]))], 4)
+    fine = ntile([i for i, _, _ in sorted(data, key=lambda r: r[2])], 4)
+    assert got == {i: (up[i], down[i], fine[i]) for i, _, _ in data}
+
+
+def single_partition_inputs(df):
+    """What stands below each exchange to a single partition."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [lines[i + 1] for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
 
 
-def test_distributed_tiles_use_no_single_partition(spark):
+def test_tiles_bring_only_aggregates_to_one_task(spark):
     df = spark.range(5000).withColumn("m", F.col("id") % 7)
-    out = plans.exact_tiles(df, {"t": [F.col("m"), F.col("id")]}, 4, single_task_rows=0)
-    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+    out = plans.exact_tiles(df, {"t": ("m", True)}, "id", 4)
+    assert all("partial_" in below for below in single_partition_inputs(out))
     assert sorted(r["count"] for r in out.groupBy("t").count().collect()) == [1250] * 4
 
 
-@given(st.integers(0, 500), st.integers(1, 9), st.lists(st.integers(0, 60), min_size=1, max_size=20))
-def test_tile_starts_and_ids_agree_with_definition(count, k, parts):
-    buckets = ntile(list(range(count)), k)
-    firsts = {bucket: position for position, bucket in reversed(list(buckets.items()))}
-    starts = [firsts[bucket] for bucket in range(2, k + 1) if bucket in firsts]
-    assert [s for s in tiles.tile_starts(count, k) if s < count] == starts
-    # rows of numbered partitions in order, some of them empty
-    ids = [(part << 33) + row for part, size in enumerate(parts) for row in range(size)]
-    sizes = [(part, size) for part, size in enumerate(parts) if size]
-    assert tiles._ids_at(range(len(ids) + 2), sizes) == ids
+def test_the_registered_rfm_brings_only_aggregates_to_one_task(spark, sf_dir):
+    from __spark_entry__ import analytics
+
+    assert all("partial_" in below for below in single_partition_inputs(analytics()["rfm"](spark, sf_dir)))
 
 
-def test_tile_starts():
-    assert tiles.tile_starts(10, 4) == [3, 6, 8]
-    assert tiles.tile_starts(2, 4) == [1, 2, 2]
-    assert tiles.tile_starts(0, 4) == [0, 0, 0]
+@given(st.integers(0, 300), st.integers(1, 9))
+def test_tiles_by_formula(count, k):
+    buckets = ntile(list(range(count)), k)
+    size, larger = divmod(count, k)
+    for at, bucket in buckets.items():
+        by_formula = at // (size + 1) if at < larger * (size + 1) else larger + (at - larger * (size + 1)) // max(size, 1)
+        assert by_formula + 1 == bucket
 
 
 @pytest.mark.parametrize("ascending", [True, False])
@@ -146,12 +146,11 @@ def test_pair_counts_match_brute_force(spark, monkeypatch, hot, block, per_task)
 
 
 @pytest.mark.parametrize("seed,hot,n", [(1, 0, 3), (1, 300, 3), (2, 300, 20), (3, 300, 2000)])
-@pytest.mark.parametrize("direct", [0, 10**6])
-def test_top_label_pairs_match_brute_force(spark, seed, hot, n, direct):
+def test_top_label_pairs_match_brute_force(spark, seed, hot, n):
     lines = basket_lines(seed, hot)
     df = plans.distinct_lines(spark.createDataFrame(lines, "g string, i long"), "g", "i")
     labels = spark.createDataFrame(list(NAMES.items()), "_item long, _label string")
-    counted = plans.top_label_pairs(df, labels, n, block=8, direct_pairs_per_line=direct)
+    counted = plans.top_label_pairs(df, labels, n, block=8)
     got = [(r["label_a"], r["label_b"], r["times"]) for r in plans.first_n(counted, "times", n, ["label_a", "label_b"]).collect()]
     wanted = sorted(
         ((a, b, t) for (a, b), t in brute_pairs(lines, NAMES).items()), key=lambda r: (-r[2], r[0] or "", r[1] or "")
@@ -174,11 +173,33 @@ def test_pruning_leaves_out_weak_pairs(spark):
     lines = [(f"o{i}", item) for i in range(200) for item in (1, 2)] + [("wide", item) for item in range(1, 300)]
     df = plans.distinct_lines(spark.createDataFrame(lines, "g string, i long"), "g", "i")
     labels = spark.createDataFrame([(i, f"n{i:03}") for i in range(1, 300)], "_item long, _label string")
-    counted = plans.top_label_pairs(df, labels, 1, block=16, direct_pairs_per_line=0)
+    counted = plans.top_label_pairs(df, labels, 1, block=16)
     # 299 items of the wide group make 44551 pairs; the bound leaves the strong pair
     assert rows(counted) == [("n001", "n002", 201)]
 
 
+def test_sparse_baskets_name_only_the_pairs_that_tie_with_the_last(spark):
+    """Nearly all counts are one or two; ranking distinct counts would name every pair."""
+    rng = random.Random(9)
+    lines = [(f"o{i}", item) for i in range(4000) for item in rng.sample(range(1000), 3)]
+    df = plans.distinct_lines(spark.createDataFrame(lines, "g string, i long"), "g", "i")
+    labels = spark.createDataFrame([(i, f"n{i:04}") for i in range(1000)], "_item long, _label string")
+    got = sorted((r["times"] for r in plans.top_label_pairs(df, labels, 5).collect()), reverse=True)
+    every = sorted(brute_pairs(lines, {i: i for i in range(1000)}).values(), reverse=True)
+    assert got == [t for t in every if t >= every[4]] and len(got) < len(every) / 4
+
+
+def test_a_stored_table_is_dropped_by_itself(spark):
+    from tillsight.plans.materialize import drop
+
+    one, two = plans.materialize(spark.range(5)), plans.materialize(spark.range(7))
+    place = Path(one.inputFiles()[0].removeprefix("file:")).parent
+    drop(one)
+    drop(one)  # nothing left to do
+    assert not place.exists() and two.count() == 7
+    drop(two)
+
+
 def test_materialize_uses_the_sessions_folder(spark):
     from tillsight.plans.materialize import shared_folder
 

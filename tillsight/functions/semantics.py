@@ -86,16 +86,10 @@ def ratio(numerator: Column | str, denominator: Column | str) -> Column:
     return _col(numerator).cast("double") / F.nullif(bottom, F.lit(0.0))
 
 
-def exact_mean(c: Column | str, exact_type: str | None = None) -> Column:
-    """Mean of the non-NULL values as a double.
-
-    The sum is kept in the column's exact type. ``exact_type`` names a decimal
-    to add doubles in, so that the mean does not depend on the order in which
-    partitions arrive.
-    """
+def exact_mean(c: Column | str) -> Column:
+    """Mean of the non-NULL values of an exact type (whole numbers, decimals) as a double, over an exact sum."""
     value = _col(c)
-    summed = F.sum(value.cast(exact_type) if exact_type else value)
-    return ratio(summed, F.count(value))
+    return ratio(F.sum(value), F.count(value))
 
 
 def first_matching_band(bands: Sequence[tuple[Column, str]], otherwise: str) -> Column:

@@ -13,9 +13,6 @@ from tillsight.operators.exploration import revenue_share
 from tillsight.operators.ranking import top_n
 from tillsight.plans import counts_by_key, share_of_total
 
-# doubles are added in this type, so that a mean does not depend on partition order
-_EXACT = "decimal(20,6)"
-
 
 # ---- import and model ----
 
@@ -40,7 +37,8 @@ def clean_table(df: DataFrame, types: dict[str, str], key: Sequence[str] | None
     if not rest:
         return cleaned.dropDuplicates()
     first = F.min(F.struct(*rest)).alias("_first")
-    return cleaned.groupBy(*key).agg(first).select(*key, "_first.*").select(*cleaned.columns)
+    single = cleaned.dropDuplicates()
+    return single.groupBy(*key).agg(first).select(*key, "_first.*").select(*cleaned.columns)
 
 
 def calendar_table(
@@ -69,10 +67,16 @@ def calendar_table(
 def attach_calendar(df: DataFrame, calendar: DataFrame, date_col: str, measures: dict[str, Column]) -> DataFrame:
     """Daily measures on every calendar date; days without facts show zero.
 
-    The facts are folded to one row per day before they meet the calendar.
+    The facts are folded to one row per day before they meet the calendar. Facts
+    without a date, or with one that the calendar lacks, stay, in one row per such
+    date whose calendar columns are NULL. A measure that is NULL for a day with
+    facts stays NULL.
     """
-    daily = df.groupBy(F.col(date_col).cast("date").alias("date")).agg(*[m.alias(n) for n, m in measures.items()])
-    return calendar.join(daily, "date", "left").fillna(0, subset=list(measures))
+    day = F.col(date_col).cast("date").alias("_day")
+    daily = df.groupBy(day).agg(*[m.alias(n) for n, m in measures.items()], F.lit(True).alias("_met"))
+    joined = calendar.join(daily, F.col("date") == F.col("_day"), "full")
+    filled = [F.when(F.col("_met").isNull(), F.lit(0)).otherwise(F.col(n)).alias(n) for n in measures]
+    return joined.select(*calendar.columns, *filled)
 
 
 def merge_tables(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
@@ -127,7 +131,7 @@ def er_kpis(visits: DataFrame) -> DataFrame:
     """Patients, mean wait and mean satisfaction (unanswered ones left out)."""
     return visits.agg(
         F.countDistinct("patient_id").alias("total_patients"),
-        exact_mean("wait_minutes", _EXACT).alias("avg_wait_minutes"),
+        F.avg("wait_minutes").alias("avg_wait_minutes"),
         exact_mean("satisfaction").alias("avg_satisfaction"),
     )
 
@@ -145,7 +149,7 @@ def daily_peaks(visits: DataFrame) -> DataFrame:
 def wait_by(visits: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
     """Mean wait and visits per department, day or any other columns."""
     return visits.groupBy(*columns).agg(
-        exact_mean("wait_minutes", _EXACT).alias("avg_wait_minutes"), F.count(F.lit(1)).alias("visits")
+        F.avg("wait_minutes").alias("avg_wait_minutes"), F.count(F.lit(1)).alias("visits")
     )
 
 
@@ -202,7 +206,7 @@ def food_kpis(orders: DataFrame) -> DataFrame:
     return orders.agg(
         _sales().alias("total_sales"),
         _orders().alias("total_orders"),
-        exact_mean("rating", _EXACT).alias("avg_rating"),
+        F.avg("rating").alias("avg_rating"),
         ratio(_sales(), _orders()).alias("avg_order_value"),
     )
 

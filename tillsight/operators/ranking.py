@@ -12,13 +12,6 @@ from tillsight.operators.exploration import customer_revenue
 from tillsight.plans import dense_rank_top, first_n, roll_up
 
 
-def rank_within(
-    df: DataFrame, by: Sequence[str], measure: Column, name: str, k: int, rank: str, ascending: bool = False
-) -> DataFrame:
-    """Groups whose aggregate has dense rank at most ``k``; ties are kept."""
-    return dense_rank_top(df.groupBy(*by).agg(measure.alias(name)), name, k, rank, ascending)
-
-
 def top_n(
     df: DataFrame,
     by: str,

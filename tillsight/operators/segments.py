@@ -95,7 +95,6 @@ def rfm(
     as_of: dt.date | str | Column | None = None,
     buckets: int = labels.RFM_BUCKETS,
     cuts: tuple[int, int, int] = labels.RFM_CUTS,
-    single_task_rows: int = 1_000_000,
 ) -> DataFrame:
     """Recency, frequency and monetary quantile scores per customer, best total first.
 
@@ -116,17 +115,13 @@ def rfm(
             "monetary",
         )
     )
-    key = F.col("customer_key").asc_nulls_first()
     scored = exact_tiles(
         base,
-        {
-            "r_score": [F.col("recency_months").desc_nulls_last(), key],
-            "f_score": [F.col("frequency").asc_nulls_first(), key],
-            "m_score": [F.col("monetary").asc_nulls_first(), key],
-        },
+        {"r_score": ("recency_months", False), "f_score": ("frequency", True), "m_score": ("monetary", True)},
+        "customer_key",
         buckets,
-        single_task_rows,
     )
+    key = F.col("customer_key").asc_nulls_first()
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     return (
         scored.withColumn("rfm_total_score", total)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,7 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         if context.applicationId not in _local_folders:
-            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tillsight-")
+            made = tempfile.mkdtemp(prefix="tillsight-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            _local_folders[context.applicationId] = made
         folder = _local_folders[context.applicationId]
     return f"{folder.rstrip('/')}/tillsight-{context.applicationId}"
 
@@ -37,11 +43,24 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _paths[stored] = path
+    return stored
 
 
-def drop_materialized(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables, once its results have been read."""
+def _delete(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(stored: DataFrame) -> None:
+    """Delete the table behind a frame that ``materialize`` returned, and no other."""
+    path = _paths.pop(stored, None)
+    if path is not None:
+        _delete(stored.sparkSession, path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once its results have been read."""
+    _delete(spark, shared_folder(spark))

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tillsight.plans.materialize import materialize
-from tillsight.plans.ranks import dense_rank_top
 
 # Strengths are square roots in double; this covers their rounding.
 _SLACK = 1.000001
@@ -80,9 +79,6 @@ def pair_counts(
     on the columns of both sides, ``a`` and ``b``.
     """
     volume = volume or pair_volume(lines, block)
-    if not volume["wide"]:
-        return _folded(_narrow_pairs(lines, volume["narrow"], reachable))
-
     wide = _widths(lines).filter(F.col("_width") > block).select(
         F.col("_group").alias("_wide_group"), F.ceil(F.col("_width") / F.lit(block)).cast("int").alias("_blocks")
     )
@@ -104,23 +100,28 @@ def _narrow_pairs(lines: DataFrame, volume: float, reachable: Column | None) ->
 
 
 def _wide_pairs(cut: DataFrame, volume: float, reachable: Column | None) -> DataFrame:
+    """Every two blocks meet once, the lower one first."""
     keys = ["_group", "_from", "_to"]
-    every_block = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    as_first = cut.withColumn("_to", every_block).withColumnRenamed("_block", "_from")
-    as_second = cut.withColumn("_from", every_block).withColumnRenamed("_block", "_to")
+    as_first = cut.withColumn("_to", F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)))
+    as_second = cut.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_block"))))
+    sides = (as_first.withColumnRenamed("_block", "_from"), as_second.withColumnRenamed("_block", "_to"))
     # Spark's size estimate does not know how far explode copies the lines, so no broadcast may be chosen by it
-    first, second = [_spread(df, keys, volume).hint("merge") for df in (as_first, as_second)]
-    return _pairs(first, second, keys, reachable)
+    first, second = [_spread(df, keys, volume).hint("merge") for df in sides]
+    return _pairs(first, second, keys, reachable, (F.col("a._from") < F.col("a._to")))
 
 
 def _spread(df: DataFrame, keys: list[str], volume: float) -> DataFrame:
     """Partition by the join keys, by the pairs to be formed instead of the bytes to be read."""
-    tasks = min(math.ceil(volume / _PAIRS_PER_TASK), 100_000)
+    tasks = math.ceil(volume / _PAIRS_PER_TASK)
     return df.repartition(tasks, *keys) if tasks > 1 else df
 
 
-def _pairs(first: DataFrame, second: DataFrame, keys: list[str], reachable: Column | None) -> DataFrame:
-    condition = F.col("a._item") < F.col("b._item")
+def _pairs(
+    first: DataFrame, second: DataFrame, keys: list[str], reachable: Column | None, apart: Column | None = None
+) -> DataFrame:
+    """Pairs of different items, each once. ``apart`` says where the sides share no item and both orders count."""
+    in_order = F.col("a._item") < F.col("b._item")
+    condition = in_order if apart is None else in_order | apart
     for key in keys:
         condition = condition & (F.col(f"a.{key}") == F.col(f"b.{key}"))
     if reachable is not None:
@@ -129,8 +130,8 @@ def _pairs(first: DataFrame, second: DataFrame, keys: list[str], reachable: Colu
         first.alias("a")
         .join(second.alias("b"), condition, "inner")
         .select(
-            F.col("a._label").alias("label_a"),
-            F.col("b._label").alias("label_b"),
+            F.when(in_order, F.col("a._label")).otherwise(F.col("b._label")).alias("label_a"),
+            F.when(in_order, F.col("b._label")).otherwise(F.col("a._label")).alias("label_b"),
             (F.col("a._lines") * F.col("b._lines")).alias("_times"),
         )
     )
@@ -148,8 +149,9 @@ def _label_numbers(labels: DataFrame) -> DataFrame:
 
 
 def _best_named(counts: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """The counts of the ``n`` largest values, with names: only these meet the label table."""
-    best = dense_rank_top(counts, "times", n, "_rank")
+    """The counts that reach the ``n``-th largest one, with names: only these meet the label table."""
+    last = counts.select("times").orderBy(F.desc("times")).limit(n).select(F.min("times")).scalar()
+    best = counts.where(F.col("times") >= last)
     a = labels.select(F.col("_item").alias("label_a"), F.col("_label").alias("_name_a"))
     b = labels.select(F.col("_item").alias("label_b"), F.col("_label").alias("_name_b"))
     return (
@@ -159,21 +161,14 @@ def _best_named(counts: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     )
 
 
-def top_label_pairs(
-    lines: DataFrame, labels: DataFrame, n: int, block: int = 512, direct_pairs_per_line: float = 8
-) -> DataFrame:
-    """Counts of the label pairs whose count is among the ``n`` largest counts.
+def top_label_pairs(lines: DataFrame, labels: DataFrame, n: int, block: int = 512) -> DataFrame:
+    """Counts of the label pairs that reach the ``n``-th largest count.
 
     ``labels`` has ``_item``, unique, and ``_label``; items without one share the
-    NULL label. Ties are included, so that the caller can settle them. While the
-    groups make at most ``direct_pairs_per_line`` pairs per line on average,
-    forming all pairs is linear work, cheaper than the bounds.
+    NULL label. Ties with the ``n``-th are included, so that the caller can settle
+    them.
     """
     lines = materialize(lines.join(_label_numbers(labels), "_item", "left"))
-    volume = pair_volume(lines, block)
-    if volume["wide"] + volume["narrow"] <= direct_pairs_per_line * volume["lines"]:
-        return _best_named(pair_counts(lines, block, volume), labels, n)
-
     strengths = _strengths(lines)
     # the n-th count among a few strong labels: the n-th result is at least this
     few = 2 * math.ceil(math.sqrt(2 * n)) + 2
@@ -182,7 +177,8 @@ def top_label_pairs(
     best = [r["times"] for r in sample.orderBy(F.desc("times")).limit(n).select("times").collect()]
     floor = float(best[-1]) if len(best) == n else 0.0
 
-    able = strengths.filter(F.col("_strength") * strongest[0]["_strength"] >= floor)
+    most = strongest[0]["_strength"] if strongest else 0.0
+    able = strengths.filter(F.col("_strength") * most >= floor)
     candidates = lines.join(able, F.col("_label").eqNullSafe(F.col("_strong")), "inner").drop("_strong")
     reachable = F.col("a._strength") * F.col("b._strength") >= floor
     return _best_named(pair_counts(candidates, block, reachable=reachable), labels, n)

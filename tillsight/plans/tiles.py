@@ -2,67 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.plans.materialize import materialize
-
-# monotonically_increasing_id keeps the partition number above this many bits
-_ROW_BITS = 33
+#: Ranges that a measure, and the key among equal measures, is cut into.
+RANGES = 64
 
 
-def tile_starts(rows: int, tiles: int) -> list[int]:
-    """Position of the first row of tiles 2..``tiles``; larger tiles come first."""
-    size, larger = divmod(rows, tiles)
-    return [tile * size + min(tile, larger) for tile in range(1, tiles)]
+def tile_of(at: Column, rows: Column, tiles: int) -> Column:
+    """Tile, from 1, of the row at position ``at`` (from 0) of ``rows``; larger tiles come first."""
+    size, larger = F.floor(rows / tiles), rows % tiles
+    long_rows = larger * (size + 1)
+    return (
+        F.when(at < long_rows, F.floor(at / (size + 1)))
+        .otherwise(larger + F.floor((at - long_rows) / F.greatest(size, F.lit(1))))
+        .cast("int")
+        + 1
+    )
 
 
 def exact_tiles(
-    df: DataFrame,
-    orders: dict[str, Sequence[Column]],
-    tiles: int,
-    single_task_rows: int = 1_000_000,
+    df: DataFrame, measures: dict[str, tuple[str, bool]], key: str, tiles: int, ranges: int = RANGES
 ) -> DataFrame:
-    """Add one NTILE column per entry of ``orders``.
+    """Add one NTILE column per entry of ``measures``: name -> (numeric column, ascending).
 
-    Each order must end in a unique key. The frame is stored once and counted.
-    Up to ``single_task_rows`` rows a plain window is cheapest. Beyond that every
-    order is a distributed sort: rows get an id made of partition number and
-    position, the partition sizes (one number per partition) turn tile starts
-    into ids, and a tile is a comparison with those ids.
+    Equal measures are ordered by ``key``, a unique number. NULL measures come
+    first if ascending, else last; a NULL key comes first.
+
+    Approximate quantiles of all measures and of the key, one aggregate, cut each
+    order into classes: a quantile itself, or what lies between two. A value that
+    many rows share is a quantile, so its class holds that value only and is cut
+    again by key. A row's position is the exact number of rows in the classes
+    before its own, plus its row number in the class. The counts, at most a few
+    thousand rows whatever the table's size, are all that is ever brought to one
+    task; nothing is stored, and no job runs before the result is asked for.
     """
-    stored = materialize(df)
-    rows = stored.count()
-    if rows <= single_task_rows:
-        for name, order in orders.items():
-            stored = stored.withColumn(name, F.ntile(tiles).over(Window.orderBy(*order)))
-        return stored
-    for name, order in orders.items():
-        # stored again, because a second run of the sort may draw other range bounds
-        placed = materialize(stored.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
-        sizes = (
-            placed.groupBy(F.shiftright("_place", _ROW_BITS).alias("part"))
-            .agg(F.count(F.lit(1)).alias("size"))
-            .collect()
+    shares = [i / ranges for i in range(1, ranges)]
+
+    def height(column: str, ascending: bool) -> Column:
+        return F.col(column) if ascending else -F.col(column)
+
+    cuts = df.select(
+        F.struct(
+            F.percentile_approx(key, shares).alias("_key"),
+            *[F.percentile_approx(height(*m), shares).alias(name) for name, m in measures.items()],
+        )
+    ).scalar()
+    marked = df.withColumn("_cuts", cuts)
+    key_range = F.when(F.col(key).isNull(), -1).otherwise(
+        F.size(_below(F.col("_cuts._key"), F.col(key)))
+    )
+    classes = {}
+    for name, (column, ascending) in measures.items():
+        value, own = height(column, ascending), F.col(f"_cuts.{name}")
+        is_cut = F.coalesce(F.array_contains(own, value), F.lit(True))
+        below = 2 * F.size(_below(own, value))
+        position = F.when(value.isNull(), -1 if ascending else 2 * ranges).otherwise(below + is_cut.cast("int"))
+        classes[f"_{name}"] = F.struct(position.alias("c"), F.when(is_cut, key_range).otherwise(0).alias("k"))
+    marked = marked.withColumns(classes).drop("_cuts")
+
+    stacked = marked.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("class")) for n in measures])).alias("m")
+    )
+    counts = stacked.groupBy("m.name", "m.class").agg(F.count(F.lit(1)).alias("_rows"))
+    one = Window.partitionBy("name")
+    starts = counts.select(
+        "name",
+        "class",
+        (F.sum("_rows").over(one.orderBy("class")) - F.col("_rows")).alias("_start"),
+        F.sum("_rows").over(one).alias("_all"),
+    )
+    for name, (column, ascending) in measures.items():
+        before = starts.where(F.col("name") == name).select(F.col("class").alias(f"_{name}"), "_start", "_all")
+        order = Window.partitionBy(f"_{name}").orderBy(height(column, ascending), F.col(key).asc_nulls_first())
+        at = F.col("_start") + F.row_number().over(order) - 1
+        marked = (
+            marked.join(F.broadcast(before), f"_{name}")
+            .withColumn(name, tile_of(at, F.col("_all"), tiles))
+            .drop(f"_{name}", "_start", "_all")
         )
-        starts = _ids_at(tile_starts(rows, tiles), sorted((r["part"], r["size"]) for r in sizes))
-        tile = F.lit(1)
-        for start in starts:
-            tile = tile + F.when(F.col("_place") >= start, 1).otherwise(0)
-        stored = placed.withColumn(name, tile).drop("_place")
-    return stored
+    return marked
 
 
-def _ids_at(positions: Sequence[int], sizes: Sequence[tuple[int, int]]) -> list[int]:
-    """Ids of the rows at ``positions`` in the global order, given (partition, rows)."""
-    ids = []
-    for position in positions:
-        left = position
-        for part, size in sizes:
-            if left < size:
-                ids.append((part << _ROW_BITS) + left)
-                break
-            left -= size
-    return ids
+def _below(cuts: Column, value: Column) -> Column:
+    return F.filter(cuts, lambda c: c < value)

@@ -18,11 +18,21 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, sep: str = ",") -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    header: bool = True,
+    sep: str = ",",
+    multi_line: bool = False,
+) -> DataFrame:
     """Import delimited text under a declared schema, one pass, no inference.
 
     Lines that do not fit keep their NULLs and carry the raw line in
-    ``_corrupt_record``, so that nothing is lost at import.
+    ``_corrupt_record``, so that nothing is lost at import. A quote inside quotes
+    is doubled. With ``multi_line`` a quoted value may hold line breaks; a file is
+    then read by one task, so large ones should come in pieces. Without it such a
+    record arrives as several corrupt ones.
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     return (
@@ -32,6 +42,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("enforceSchema", False)
+        .option("multiLine", multi_line)
+        .option("escape", '"')
         .csv(path)
     )
 
