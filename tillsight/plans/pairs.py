@@ -7,7 +7,7 @@ large part of the table. Three things keep the exact answer affordable:
   folded. Labels travel as numbers, not as text.
 * Only pairs that can still reach the result are formed. The lines that two
   labels share are at most the product of their strengths (Cauchy-Schwarz over
-  the groups), and the counts among a few strong labels give a floor that the
+  the groups), and the counts among a few frequent items give a floor that the
   result cannot fall below.
 * The pairs of a wide group are spread over many tasks, each of which meets two
   blocks of its items.
@@ -169,31 +169,32 @@ def top_label_pairs(lines: DataFrame, labels: DataFrame, n: int, block: int = 51
     them.
     """
     lines = materialize(lines.join(_label_numbers(labels), "_item", "left"))
-    strengths = _strengths(lines)
-    # the n-th count among a few strong labels: the n-th result is at least this
-    few = 2 * math.ceil(math.sqrt(2 * n)) + 2
-    strongest = strengths.orderBy(F.desc("_strength"), "_strong").limit(few).collect()
-    sample = pair_counts(lines.filter(_one_of("_label", [r["_strong"] for r in strongest])), block)
-    best = [r["times"] for r in sample.orderBy(F.desc("times")).limit(n).select("times").collect()]
-    floor = float(best[-1]) if len(best) == n else 0.0
-
-    most = strongest[0]["_strength"] if strongest else 0.0
+    floor = _floor(lines, n)
+    strengths = materialize(_strengths(lines))
+    most = strengths.select(F.max("_strength")).scalar()
     able = strengths.filter(F.col("_strength") * most >= floor)
-    candidates = lines.join(able, F.col("_label").eqNullSafe(F.col("_strong")), "inner").drop("_strong")
+    candidates = materialize(lines.join(able, F.col("_label").eqNullSafe(F.col("_strong")), "inner").drop("_strong"))
     reachable = F.col("a._strength") * F.col("b._strength") >= floor
     return _best_named(pair_counts(candidates, block, reachable=reachable), labels, n)
 
 
+def _floor(lines: DataFrame, n: int) -> float:
+    """A count that the ``n``-th result reaches: the ``n``-th one among a few frequent items.
+
+    No group holds more than those few items, so their pairs need no blocks.
+    """
+    few = 2 * math.ceil(math.sqrt(2 * n)) + 2
+    weight = F.sum(F.col("_lines").cast("double") * F.col("_lines"))
+    frequent = lines.groupBy("_item").agg(weight.alias("_weight")).orderBy(F.desc("_weight"), "_item").limit(few)
+    chosen = lines.where(F.col("_item").isin([r["_item"] for r in frequent.select("_item").collect()]))
+    sample = _folded(_pairs(chosen, chosen, ["_group"], None))
+    best = [r["times"] for r in sample.orderBy(F.desc("times")).limit(n).select("times").collect()]
+    return float(best[-1]) if len(best) == n else 0.0
+
+
 def _strengths(lines: DataFrame) -> DataFrame:
     """Per label the length of its vector of line counts over the groups."""
     shared = lines.groupBy("_group", "_label").agg(F.sum("_lines").cast("double").alias("_n"))
-    return materialize(
-        shared.groupBy(F.col("_label").alias("_strong")).agg(
-            (F.sqrt(F.sum(F.col("_n") * F.col("_n"))) * _SLACK).alias("_strength")
-        )
+    return shared.groupBy(F.col("_label").alias("_strong")).agg(
+        (F.sqrt(F.sum(F.col("_n") * F.col("_n"))) * _SLACK).alias("_strength")
     )
-
-
-def _one_of(column: str, values: list) -> Column:
-    chosen = F.col(column).isin([v for v in values if v is not None])
-    return F.coalesce(chosen, F.lit(None in values))

@@ -58,28 +58,29 @@ def exact_tiles(
         is_cut = F.coalesce(F.array_contains(own, value), F.lit(True))
         below = 2 * F.size(_below(own, value))
         position = F.when(value.isNull(), -1 if ascending else 2 * ranges).otherwise(below + is_cut.cast("int"))
-        classes[f"_{name}"] = F.struct(position.alias("c"), F.when(is_cut, key_range).otherwise(0).alias("k"))
+        within = F.when(is_cut, key_range).otherwise(0)
+        classes[f"_{name}"] = F.struct(F.lit(name).alias("of"), position.alias("c"), within.alias("k"))
     marked = marked.withColumns(classes).drop("_cuts")
 
-    stacked = marked.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("class")) for n in measures])).alias("m")
+    # the classes of all measures in one small table, which every measure is joined with
+    counts = (
+        marked.select(F.explode(F.array(*[F.col(f"_{name}") for name in measures])).alias("_class"))
+        .groupBy("_class")
+        .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    counts = stacked.groupBy("m.name", "m.class").agg(F.count(F.lit(1)).alias("_rows"))
-    one = Window.partitionBy("name")
+    one = Window.partitionBy("_class.of")
     starts = counts.select(
-        "name",
-        "class",
-        (F.sum("_rows").over(one.orderBy("class")) - F.col("_rows")).alias("_start"),
+        "_class",
+        (F.sum("_rows").over(one.orderBy("_class")) - F.col("_rows")).alias("_start"),
         F.sum("_rows").over(one).alias("_all"),
     )
     for name, (column, ascending) in measures.items():
-        before = starts.where(F.col("name") == name).select(F.col("class").alias(f"_{name}"), "_start", "_all")
         order = Window.partitionBy(f"_{name}").orderBy(height(column, ascending), F.col(key).asc_nulls_first())
         at = F.col("_start") + F.row_number().over(order) - 1
         marked = (
-            marked.join(F.broadcast(before), f"_{name}")
+            marked.join(F.broadcast(starts), F.col(f"_{name}") == F.col("_class"))
             .withColumn(name, tile_of(at, F.col("_all"), tiles))
-            .drop(f"_{name}", "_start", "_all")
+            .drop(f"_{name}", "_class", "_start", "_all")
         )
     return marked
 
