@@ -127,7 +127,7 @@ def _set_batches(size: int, wanted: np.ndarray):
                 _, hashes, edges, node = _sets(data, offsets, size)
                 rows = batch.slice(first, stop - first)
                 key = rows.column("key").to_numpy().view(_U)
-                own = np.flatnonzero(bloom.may_hold(wanted, W.mix(node.view(_U) ^ key)))
+                own = np.flatnonzero(bloom.may_hold(wanted, node.view(_U) ^ key))
                 sets = [hashes[edges[i] : edges[i + 1]].tobytes() for i in own]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("row_id").take(pa.array(own)), pa.array(node[own]), pa.array(sets, pa.binary())],
@@ -150,12 +150,6 @@ def _shared_keys(wanted: np.ndarray):
     return run
 
 
-def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pair = W.mix(batch.column("node").to_numpy().view(_U) ^ batch.column("key").to_numpy().view(_U))
-        yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64))], ["pair"])
-
-
 class CountTree:
     """R-tree over group counts; level 0 holds the points, each level above boxes of ``FAN`` below."""
 
@@ -322,7 +316,7 @@ def shingle_classes(
     )
     sums = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     clusters = materialize(clusters.join(sums, "cluster"))
-    wanted = bloom.build(clusters.select("node", "key").mapInArrow(_pair_keys, "pair bigint"), "pair")
+    wanted = bloom.build(clusters.select(F.col("node").bitwiseXOR(F.col("key")).alias("pair")), "pair")
     sets = (
         named.withColumn("key", F.xxhash64("row_id"))
         .mapInArrow(_set_batches(size, wanted), f"row_id {id_type}, node bigint, set binary")
