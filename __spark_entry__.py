@@ -113,6 +113,11 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.round(name, 6) for name in means if name not in ("avg_satisfaction", "avg_order_value")})
 
 
+def _positioned(df: DataFrame) -> DataFrame:
+    """A sorted result of a few rows with each row's position, so that its order is compared as well."""
+    return df.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 def _merge_tables(fact: DataFrame, customers: DataFrame) -> DataFrame:
     lines = fact.select("order_number", "customer_key", "sales_amount")
     return dashboard.merge_tables(lines, customers.select("customer_key", "country"), "customer_key")
@@ -224,6 +229,9 @@ def analytics() -> dict[str, Query]:
         "kpi_cards": _lines(kpi.kpi_cards),
         "orders_by_weekday": _lines(kpi.orders_by_weekday),
         "orders_by_month_name": _lines(kpi.orders_by_month_name),
+        "weekday_positions": _lines(lambda s: _positioned(kpi.orders_by_weekday(s))),
+        "month_positions": _lines(lambda s: _positioned(kpi.orders_by_month_name(s))),
+        "size_positions": _lines(lambda s: _positioned(kpi.share_by_size(s))),
         "order_trend_day": _lines(lambda s: timeseries.sales_trend(s, "day", amount="total_price")),
         "order_trend_month": _lines(lambda s: timeseries.sales_trend(s, "month", amount="total_price")),
         "share_by_category": _lines(kpi.share_by_category),
