@@ -273,7 +273,7 @@ def test_neighbours_of_a_hot_vector_and_odd_vectors(spark, monkeypatch):
     frame = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id long, embedding array<double>, id int")
     asked = frame.where("vec_id % 20 = 0 or vec_id = 3")
     got = defaultdict(list)
-    for r in neighbours.nearest(frame, asked, k=10).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(frame, asked, k=10, part_queries=7).orderBy("query_id", "rank").collect():
         assert r["rank"] == len(got[r["query_id"]]) + 1
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     want = exact_neighbours([r for r in rows if r[0] not in (804, 805)], [i for i, _ in rows if i % 20 == 0 or i == 3], 10)

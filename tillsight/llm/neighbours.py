@@ -28,6 +28,8 @@ TABLES, PROJECTIONS, CELL = 4, 8, 2.0
 RECALL, TRIALS, MOST_PROBES = 0.95, 64, 3000
 #: Vectors that one task compares at once; a larger bucket is split.
 PART_ROWS = 8192
+#: Queries that one task compares with a part; more of them are dealt to several tasks.
+PART_QUERIES = 16384
 _QUERY_BLOCK = 256
 
 
@@ -277,6 +279,7 @@ def nearest(
     k: int = 20,
     recall: float = RECALL,
     trials: int = TRIALS,
+    part_queries: int = PART_QUERIES,
     **hashing: float,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for each row of ``queries`` among ``vectors``.
@@ -291,8 +294,9 @@ def nearest(
     probes that finds the share ``recall`` of their true neighbours, for all queries.
 
     Parts of about ``PART_ROWS`` vectors hold whole buckets; a larger bucket is
-    split over several, all of which its queries visit. A part keeps ``k`` rows a
-    query, so ties and hot buckets never widen the result.
+    split over several, all of which its queries visit. A part that more than
+    ``part_queries`` queries visit is compared by several tasks. A part keeps ``k``
+    rows a query, so ties and hot buckets never widen the result.
     """
     usable = usable_vectors(vectors, key, vector)
     stored = materialize(usable)
@@ -336,9 +340,17 @@ def nearest(
     )
 
     def compare(asking: DataFrame) -> DataFrame:
+        # a part that very many queries visit is sent to several tasks, each with its own lot of queries
+        lots = asking.groupBy("table", "part").agg(F.ceil(F.count(F.lit(1)) / part_queries).alias("lots"))
+        lots = materialize(lots)
+        some = asking.join(lots, ["table", "part"]).withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")))
+        wanted = rows.join(lots, ["table", "part"]).withColumn(
+            "lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1))
+        )
         return (
-            asking.groupBy("table", "part")
-            .cogroup(rows.groupBy("table", "part"))
+            some.drop("lots")
+            .groupBy("table", "part", "lot")
+            .cogroup(wanted.drop("lots").groupBy("table", "part", "lot"))
             .applyInArrow(_nearest(width, k), "query_id bigint, vec_id bigint, score double")
         )
 
