@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from checks.oracle import oracle_statements
 from tillsight.operators import basket, cohort, dashboard, exploration, kpi, profiling, quality, ranking
 from tillsight.operators import reports, segments, timeseries
-from tillsight.plans import materialize
+from tillsight.plans import new_path
 from tillsight.sources import bench_tables as tables
+from tillsight.sources import files
 
 AS_OF = tables.AS_OF
 
@@ -74,10 +75,7 @@ def _table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # large joins of the given files are stored once; the profile then reads them column by column
-    joined = ("fact_sales", "pizza_sales", "food_orders")
-    model = tables.model_tables(spark, sf_dir)
-    return profiling.column_profile({n: materialize(df) if n in joined else df for n, df in model.items()})
+    return profiling.column_profile(tables.model_tables(spark, sf_dir))
 
 
 def _column_profile_one(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +141,49 @@ def _apply_slicers(orders: DataFrame) -> DataFrame:
     return dashboard.sales_by_place(dashboard.apply_slicers(months, chosen), "city")
 
 
+def _report_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filtered report view, with the default thresholds."""
+    reports.register_reports(
+        tables.fact_sales(spark, sf_dir),
+        tables.dim_customers_without_country(spark, sf_dir),
+        tables.dim_products(spark, sf_dir),
+        AS_OF,
+    )
+    return _plain(
+        spark.sql(
+            """select customer_key, customer_name, total_orders, total_sales, recency_months
+               from report_customers where customer_segment = 'VIP' and age_group = '30-39'"""
+        )
+    )
+
+
+def _csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    files.write_csv(tables.exported_orders(spark, sf_dir), path)
+    schema = T.StructType.fromDDL(tables.EXPORTED_ORDERS)
+    imported = files.read_csv(spark, path, schema, multi_line=True)
+    return _plain(
+        imported.groupBy("category").agg(
+            F.count(F.lit(1)).alias("imported_rows"),
+            F.count(files.CORRUPT).alias("corrupt_rows"),
+            F.count_if(F.contains("note", F.lit('",\n'))).alias("two_line_notes"),
+            F.sum("amount").alias("total_amount"),
+        )
+    )
+
+
+def _partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    fact = tables.fact_sales(spark, sf_dir)
+    files.write_parquet(fact.withColumn("order_year", F.year("order_date")), path, partition_by=["order_year"])
+    stored = files.read_parquet(spark, path).where("order_year = 1998")
+    return _plain(
+        stored.groupBy(F.month("order_date").alias("order_month")).agg(
+            F.count(F.lit(1)).alias("total_lines"), F.sum("sales_amount").alias("total_sales")
+        )
+    )
+
+
 def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
     """Queries and SQL of the training-data operators; none where that subpackage is not installed."""
     try:
@@ -242,7 +283,10 @@ def analytics() -> dict[str, Query]:
         "bottom5_by_revenue": _lines(lambda s: kpi.top_by_revenue(s, ascending=True)),
         "bottom5_by_quantity": _lines(lambda s: kpi.top_by_quantity(s, ascending=True)),
         "bottom5_by_orders": _lines(lambda s: kpi.top_by_orders(s, ascending=True)),
-        # import, model and slicing
+        # import, sinks, model and slicing
+        "csv_import": _csv_import,
+        "report_view": _report_view,
+        "partitioned_sink": _partitioned_sink,
         "clean_table": _on("raw_food_orders")(_clean),
         "clean_table_by_key": _on("raw_food_orders")(_clean_by_key),
         "calendar_table": _orders(lambda o: dashboard.calendar_table(o, "order_date")),

@@ -189,6 +189,33 @@ def test_sparse_baskets_name_only_the_pairs_that_tie_with_the_last(spark):
     assert got == [t for t in every if t >= every[4]] and len(got) < len(every) / 4
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_partitioned_table_is_read_by_directory(spark, sf_dir):
+    from __spark_entry__ import analytics
+
+    assert "PartitionFilters: [isnotnull(order_year#" in plan_of(analytics()["partitioned_sink"](spark, sf_dir))
+    plans.drop_materialized(spark)
+
+
+def test_an_exact_profile_reads_each_table_once(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    from tillsight.operators import profiling
+
+    wide = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    plan = plan_of(profiling.column_profile({"orders": wide}))
+    assert plan.count("Scan parquet") == 1
+    odd = T.StructType([T.StructField(n, t) for n, t in
+                        [("a.b", T.DoubleType()), ("list", T.ArrayType(T.LongType())), ("x", T.DoubleType()), ("none", T.LongType())]])
+    nan = float("nan")
+    df = spark.createDataFrame([(0.0, [1], nan, None), (-0.0, [1], nan, None), (None, None, 2.0, None), (1.5, [], 2.0, None)], odd)
+    got = rows(profiling.column_profile({"t": df}), "column_name", "data_type", "null_count", "distinct_count")
+    assert got == [("a.b", "double", 1, 2), ("list", "array<bigint>", 1, 2), ("x", "double", 0, 2), ("none", "bigint", 4, 0)]
+
+
 def test_a_stored_table_is_dropped_by_itself(spark):
     from tillsight.plans.materialize import drop
 

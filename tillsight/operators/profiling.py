@@ -20,10 +20,10 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
 def column_profile(tables: dict[str, DataFrame], table: str | None = None, approx: bool = False) -> DataFrame:
     """One row per column: position, type, NULLs and distinct values.
 
-    Distinct counts are exact unless ``approx`` is set. Each column is read alone
-    and in its own type, so a stored columnar table is read once in total, and
-    its values are folded before the shuffle and spread by value, so a frequent
-    value weighs nothing. ``approx`` takes one pass over all columns.
+    Distinct counts are exact unless ``approx`` is set. One pass over a table turns
+    its rows into cells, each value in a slot of its own type; cells are folded
+    before the shuffle and spread by column and value, so a frequent value weighs
+    nothing and no copy of a table is stored. ``approx`` shuffles sketches instead.
     """
     chosen = tables if table is None else {table: tables[table]}
     profile = _approximate_profile if approx else _exact_profile
@@ -45,21 +45,18 @@ def _exact_profile(tables: dict[str, DataFrame]) -> DataFrame:
         # a table without rows has no values, but its columns are still listed
         listed = [F.struct(*_described(name, df, i)) for i in range(len(df.columns))]
         nothing = F.lit(0).cast("bigint")
-        parts.append(
-            df.sparkSession.range(1)
-            .select(F.inline(F.array(*listed)))
-            .withColumns({"nulls": nothing, "values": nothing})
+        columns = df.sparkSession.range(1).select(F.inline(F.array(*listed)))
+        parts.append(columns.withColumns({"nulls": nothing, "values": nothing}))
+        per_value = _cells(df).groupBy("position", *_slots(df).values()).agg(F.count(F.lit(1)).alias("cells"))
+        missing = reduce(Column.__and__, [F.col(slot).isNull() for slot in _slots(df).values()])
+        per_column = per_value.groupBy("position").agg(
+            F.sum(F.when(missing, F.col("cells")).otherwise(0)).alias("nulls"),
+            F.count(F.when(~missing, 1)).alias("values"),
         )
-        for i, column in enumerate(df.columns):
-            value = F.col("value")
-            per_value = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("cells"))
-            parts.append(
-                per_value.select(
-                    *_described(name, df, i),
-                    F.when(value.isNull(), F.col("cells")).otherwise(0).alias("nulls"),
-                    F.when(value.isNull(), 0).otherwise(1).cast("bigint").alias("values"),
-                )
-            )
+        parts.append(per_column.select(F.inline(F.array_compact(F.array(*[
+            F.when(F.col("position") == i, F.struct(*_described(name, df, i), "nulls", "values"))
+            for i in range(len(df.columns))
+        ])))))
     return (
         reduce(DataFrame.unionByName, parts)
         .groupBy(*_DESCRIPTION)
@@ -67,6 +64,28 @@ def _exact_profile(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def _slots(df: DataFrame) -> dict[str, str]:
+    """A column for the values of each data type."""
+    types = dict.fromkeys(f.dataType.simpleString() for f in df.schema.fields)
+    return {of: f"value_{i}" for i, of in enumerate(types)}
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    """A row for each cell: the column's position, and the value in the slot of its type."""
+    slots = _slots(df)
+    cells = [
+        F.struct(
+            F.lit(i).alias("position"),
+            *[
+                (F.col(f"`{f.name}`") if f.dataType.simpleString() == of else F.lit(None).cast(of)).alias(slot)
+                for of, slot in slots.items()
+            ],
+        )
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return df.select(F.inline(F.array(*cells)))
+
+
 def _approximate_profile(tables: dict[str, DataFrame]) -> DataFrame:
     def one_pass(name: str, df: DataFrame) -> DataFrame:
         one_row = df.agg(

@@ -33,6 +33,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tillsight-{context.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """An unused path in this application's folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return the stored rows.
 
@@ -41,7 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
     ``drop_materialized``, since the returned rows are read lazily.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     _paths[stored] = path

@@ -189,6 +189,25 @@ def raw_food_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.unionByName(repeated).drop("_order")
 
 
+#: The types under which ``exported_orders`` are imported.
+EXPORTED_ORDERS = "order_id bigint, order_date date, category string, amount decimal(18,2), note string"
+
+
+def exported_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a text export: bad numbers, quotes, separators and line breaks inside values."""
+    order = F.col("o_orderkey")
+    said = F.concat(F.lit('said "'), F.col("o_orderpriority"), F.lit('",\nthen left'))
+    return _table(spark, sf_dir, "orders").select(
+        order.cast("string").alias("order_id"),
+        F.col("o_orderdate").cast("date").cast("string").alias("order_date"),
+        F.col("o_orderpriority").alias("category"),
+        F.when(order % 23 == 0, F.lit("n/a"))
+        .otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+        .alias("amount"),
+        F.when(order % 5 == 0, said).otherwise(F.lit("plain")).alias("note"),
+    )
+
+
 def model_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "fact_sales": fact_sales(spark, sf_dir, with_price=True),

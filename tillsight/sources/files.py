@@ -48,6 +48,12 @@ def read_csv(
     )
 
 
+def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", mode: str = "overwrite") -> None:
+    """Delimited text that ``read_csv`` reads back with ``multi_line``: blanks stay, a quote inside quotes is doubled."""
+    writer = df.write.mode(mode).option("header", header).option("sep", sep).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
     """Read one of the model's tables under its schema, from 'parquet' or 'csv'."""
     schema = TABLES[name]
