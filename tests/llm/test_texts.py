@@ -250,3 +250,57 @@ def test_pii_query(spark, sf_dir):
         digest = ",".join(f"{pii.KINDS[k]}:{a}:{z}" for a, k, z in spans)
         assert r["base_sha256"] == hashlib.sha256(digest.encode()).hexdigest()
         assert r["n_email"] == sum(k == 0 for _, k, _ in spans) and set(digest.split(",")) <= set(r["spans"].split(","))
+
+
+def test_personal_data_is_found_without_digits_nearby(spark):
+    """Each form that the CRF is taught, alone in a text whose other words have neither digits nor at-signs."""
+    forms = ["jane (at) mail.com", "jane [at] mail.net", "Jane (at) Mail.com", "jane@mail"]
+    far = "the weather was fine and nobody wrote a word about it"
+    rows = [(i, f"{far} é write to {form} when you {far}") for i, form in enumerate(forms)]
+    rows += [(100 + i, form) for i, form in enumerate(forms)] + [(200, f"{far} " * 40)]
+    got = {r["doc_id"]: r["pii"] for r in pii.find_pii(docs(spark, rows)).collect()}
+    for i, text in rows[:-1]:
+        assert [(s["kind"], text[s["first"] : s["stop"]]) for s in got[i]] == [("email", forms[i % 100])], text
+    assert got[200] == []
+
+
+def test_runs_leave_out_only_words_that_are_no_part_of_spans():
+    """Decoding the runs equals one pass over whole texts, for odd words, many texts a block and every form."""
+    model = pii.Crf().fit(pii.labelled_table())
+    rng = random.Random(11)
+    odd = ["(at)", "[at]", "mail.com", "+", "+1", "(in)", "a@", "@", "--", "é", "(743)", "555-3824", "12", "4539", "x.y", "...", "10.0.0.1"]
+    plain = ["the", "word", "jane", "Hello,", "end."]
+    texts = [" ".join(rng.choice(odd if rng.random() < p else plain) for _ in range(rng.randrange(60))) for p in (0, 0.1, 0.3, 0.9) for _ in range(80)]
+    texts += [" ".join(w) for w, _ in pii.labelled_table(seed=9, rows=200)]
+    cut = 0
+    for _, _, data, offsets in W.text_blocks(pa.array(texts, pa.string())):
+        words = W.split(data, offsets, W.NON_SPACE)
+        gain = model.gains(words)
+        for a, z in zip(words.bounds, words.bounds[1:]):
+            own = pii.word_texts(words, np.arange(a, z))
+            want = model.decode([pii.sequence_features(own)])[0] if own else np.empty(0, int)
+            got = np.zeros(z - a, int)
+            for b, e, ends in pii.windows(model.runs(gain[a:z]), z - a):
+                cut += e - b
+                got[b:e] = np.maximum(got[b:e], model.decode([pii.sequence_features(own[b:e])], [ends])[0])
+            assert list(got) == list(want), own
+    assert cut < 0.8 * sum(len(t.split()) for t in texts)
+
+
+def test_words_of_one_plain_shape_have_equal_features():
+    texts = ["Jane jané \u0416\u0663x \u00d7a\u00d7 \u2014b \u65e5\u672c\u8a9e (at) 12.5% a1b2@c.d", "", "\U0001f642x9"]
+    for _, _, data, offsets in W.text_blocks(pa.array(texts, pa.string())):
+        words = W.split(data, offsets, W.NON_SPACE)
+        all_words = np.arange(len(words.starts))
+        pairs = list(zip(pii.word_texts(words, all_words), pii.word_texts(pii.plain_shapes(words), all_words)))
+        assert len(pairs) == 10 and all(pii._features(a) == pii._features(b) for a, b in pairs)
+        assert pairs[0][1] == pairs[1][1] == "xxxx" and pairs[6][1] == "(xx)"
+
+
+def test_marks_are_asked_for_only_where_all_taught_spans_hold_them(spark):
+    assert pii.spans_hold_marks(pii.labelled_table()) and pii.spans_hold_marks([(["a", "(at)"], ["B-email", "I-email"])])
+    assert not pii.spans_hold_marks([(["a", "7"], ["B-email", "B-email"])])
+    taught = [(["ask", "jane", "dot", "com"], ["O", "B-email", "I-email", "I-email"]), (["a", "word"], ["O", "O"])] * 20
+    assert not pii.spans_hold_marks(taught)
+    row = pii.find_pii(docs(spark, [(1, "ask jane dot com")]), labelled=taught).first()
+    assert [(s["kind"], s["first"], s["stop"]) for s in row["pii"]] == [("email", 4, 16)]

@@ -1,8 +1,12 @@
 """Personal data in whole texts: fixed patterns, and a linear-chain CRF over word shapes that adds to them.
 
 The patterns are found around their rare characters only, on bytes. The CRF reads
-the words around digits and at-signs; it is trained from a small labelled table by
-gradient ascent and decoded by Viterbi over many word sequences at once.
+every word; it is trained from a small labelled table by gradient ascent. A bound on
+what tags can gain over ``O`` shows where the best path has to be ``O``; Viterbi
+decodes the runs of words between, many at once, so the tags are those of whole texts,
+except near the cuts of runs of more than ``LONGEST`` words.
+Where each span of the labelled table holds a mark (a digit, ``@``, ``+`` or a
+bracket), a span without one has no form that was taught, and is none.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import types as T
 from tillsight.llm import words as W
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Words on each side of a word with a digit or at-sign that the CRF reads with it.
+#: Words on each side of a run that its pieces are read with.
 CONTEXT = 3
 #: Words in a sequence; longer ones are decoded in pieces that overlap by ``CONTEXT``.
 LONGEST = 256
@@ -35,6 +39,7 @@ def _bytes(*parts: str) -> np.ndarray:
 
 _DIGIT = _bytes("0123456789")
 _LETTER = _bytes("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_MARK = _DIGIT | _bytes("@+()[]")
 _IN_EMAIL = _DIGIT | _LETTER | _bytes("._%+-@")
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(rb"[0-9]+(?:\.[0-9]+)*")
@@ -141,6 +146,10 @@ def _features(word: str) -> tuple[int, ...]:
 
 
 WIDTH = 7
+#: Features that a word has in common with the words next to it.
+NEAR = 3
+#: Words whose scores are held at a time.
+CHUNK = 1 << 16
 
 
 def sequence_features(words: list[str]) -> np.ndarray:
@@ -148,9 +157,8 @@ def sequence_features(words: list[str]) -> np.ndarray:
     own = np.array([_features(w) for w in words])
     none = np.full((1, WIDTH), -1)
     before, after = np.vstack([none, own[:-1]]), np.vstack([own[1:], none])
-    near = [0, 1, 2]
     return np.hstack(
-        [own, np.where(before < 0, 3 * _BUCKETS, before + _BUCKETS)[:, near], np.where(after < 0, 3 * _BUCKETS, after + 2 * _BUCKETS)[:, near]]
+        [own, np.where(before < 0, 3 * _BUCKETS, before + _BUCKETS)[:, :NEAR], np.where(after < 0, 3 * _BUCKETS, after + 2 * _BUCKETS)[:, :NEAR]]
     )
 
 
@@ -276,8 +284,50 @@ class Crf:
                 w += rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
         return self
 
-    def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tags of each sequence (rows of features), all sequences step by step together."""
+    def gains(self, words: W.Words) -> np.ndarray:
+        """For each word of a block, what its best tag scores more than ``O``; mostly negative."""
+        words = plain_shapes(words)
+        hashes, total = words.hashes()[0], len(words.starts)
+        first = np.zeros(total + 1, bool)
+        first[words.bounds] = True
+        none = NEAR * self.emit[3 * _BUCKETS]
+        gain = np.empty(total)
+        for low in range(0, total, CHUNK):
+            high = min(low + CHUNK, total)
+            a, z = max(low - 1, 0), min(high + 1, total)
+            _, at, which = np.unique(hashes[a:z], return_index=True, return_inverse=True)
+            x = np.array([_features(w) for w in word_texts(words, a + at)]).reshape(-1, WIDTH)
+            own = self.emit[x].sum(axis=1)
+            before, after = (self.emit[x[:, :NEAR] + k * _BUCKETS].sum(axis=1) for k in (1, 2))
+            near = np.pad(which, 1)
+            score = own[which[low - a : high - a]]
+            score += np.where(first[low:high, None], none, before[near[low - a : high - a]])
+            score += np.where(first[low + 1 : high + 1, None], none, after[near[low - a + 2 : high - a + 2]])
+            gain[low:high] = score[:, 1:].max(axis=1) - score[:, 0]
+        return gain
+
+    def runs(self, gain: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of words of one text outside which every best path has the tag ``O``.
+
+        Tags other than ``O`` on words i..j change the score of a path by at most the
+        gains of these words and the best steps into, within and out of the tags. A
+        word that is in no i..j for which this is positive has the tag ``O``.
+        """
+        if not len(gain):
+            return []
+        step = self.step - self.step[0, 0]
+        within, ends = step[1:, 1:].max(), max(step[0, 1:].max(), 0) + max(step[1:, 0].max(), 0)
+        total = np.concatenate([[0], np.cumsum(gain + within)])
+        most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        some = np.concatenate([[False], most + ends - within > -1e-6, [False]])
+        edges = np.flatnonzero(some[1:] != some[:-1])
+        return [(int(a), int(z)) for a, z in zip(edges[::2], edges[1::2])]
+
+    def decode(self, sequences: list[np.ndarray], held: list[tuple[bool, bool]] | None = None) -> list[np.ndarray]:
+        """Best tags of each sequence (rows of features), all sequences step by step together.
+
+        ``held`` says whether the first and the last word of a sequence have to be ``O``.
+        """
         if not sequences:
             return []
         order = np.argsort([-len(s) for s in sequences], kind="stable")
@@ -289,6 +339,8 @@ class Crf:
             score = np.zeros((n, t, k))
             for r, i in enumerate(part):
                 score[r, : lengths[r]] = self.emit[sequences[i]].sum(axis=1)
+                for word, fixed in zip((0, lengths[r] - 1), held[i] if held else ()):
+                    score[r, word, 1:] -= 1e6 * fixed
             best, origin = score[:, 0].copy(), np.zeros((n, t, k), np.int8)
             for s in range(1, t):
                 live = int(np.searchsorted(-lengths, -s, "left"))  # sorted by length: the first ones go on
@@ -306,45 +358,76 @@ class Crf:
         return out
 
 
-def windows(trigger: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of words within ``CONTEXT`` of a trigger, in pieces of ``LONGEST`` at most."""
-    at = np.flatnonzero(trigger)
-    if not len(at):
-        return []
-    low, high = np.maximum(at - CONTEXT, 0), np.minimum(at + CONTEXT + 1, len(trigger))
-    cut = np.flatnonzero(low[1:] >= high[:-1])
-    runs = zip(low[np.concatenate([[0], cut + 1])], high[np.concatenate([cut, [len(at) - 1]])])
+@lru_cache(maxsize=1)
+def _plain() -> np.ndarray:
+    """Each code point, or ``0`` for the ASCII digits and ``x`` for other digits and all letters."""
+    code = np.arange(0x110000, dtype=np.uint32)
+    code[[c for c in range(0x110000) if chr(c).isalnum()]] = ord("x")
+    code[ord("0") : ord("9") + 1] = ord("0")
+    return code
+
+
+def plain_shapes(words: W.Words) -> W.Words:
+    """The words in code points, with what their features cannot tell apart made equal: few distinct ones."""
+    try:
+        codes = np.frombuffer(words.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        return words
+    lead = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+    return W.Words(_plain()[codes], lead[words.offsets], lead[words.starts], lead[words.ends], words.bounds)
+
+
+def word_texts(words: W.Words, at: np.ndarray) -> list[str]:
+    coding = "utf-8" if words.data.dtype == np.uint8 else "utf-32-le"
+    return [words.data[a:z].tobytes().decode(coding, "replace") for a, z in zip(words.starts[at], words.ends[at])]
+
+
+def spans_hold_marks(table: list[tuple[list[str], list[str]]]) -> bool:
+    """Whether each span of a labelled table has a word with a mark."""
+    for words, tags in table:
+        marked = True
+        for word, tag in zip([*words, ""], [*tags, "O"]):
+            if tag[0] != "I":
+                if not marked:
+                    return False
+                marked = tag == "O"
+            marked = marked or any(_MARK[c] for c in word.encode())
+    return True
+
+
+def windows(runs: list[tuple[int, int]], words: int) -> list[tuple[int, int, tuple[bool, bool]]]:
+    """``runs`` with the words next to them, which are ``O``, in pieces of ``LONGEST``; last, which ends are such words."""
     return [
-        (int(b), int(min(b + LONGEST, z)))
+        (max(b - 1, 0) if b == a else b, min(b + LONGEST, z + 1, words), (b == a > 0, b + LONGEST > z < words))
         for a, z in runs
         for b in range(a, max(z - CONTEXT, a + 1), LONGEST - CONTEXT)
     ]
 
 
-def _find(model: Crf, text: str):
+def _find(model: Crf, text: str, marked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop, data, offsets in W.text_blocks(batch.column(text)):
                 n = stop - first
                 words = W.split(data, offsets, W.NON_SPACE)
-                marks = np.concatenate([[0], np.cumsum(_DIGIT[data] | (data == 64), dtype=np.int64)])
-                trigger = marks[words.ends] > marks[words.starts]
+                marks = np.concatenate([[0], np.cumsum(_MARK[data], dtype=np.int64)])
+                gain = model.gains(words)
                 lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])  # code points before a byte
                 base: list[list[tuple[int, int, int]]] = []
-                sequences, places = [], []
+                sequences, places, held = [], [], []
                 for d in range(n):
                     low, high = offsets[d], offsets[d + 1]
                     base.append(base_spans(data[low:high]) if marks[high] > marks[low] else [])
                     a, z = words.bounds[d], words.bounds[d + 1]
-                    for b, e in windows(trigger[a:z]):
-                        own = [
-                            data[words.starts[a + i] : words.ends[a + i]].tobytes().decode("utf-8", "replace")
-                            for i in range(b, e)
-                        ]
-                        sequences.append(sequence_features(own))
+                    runs = model.runs(gain[a:z])
+                    if marked:
+                        runs = [(b, e) for b, e in runs if marks[words.ends[a + e - 1]] > marks[words.starts[a + b]]]
+                    for b, e, ends in windows(runs, z - a):
+                        sequences.append(sequence_features(word_texts(words, np.arange(a + b, a + e))))
                         places.append((d, a + b))
+                        held.append(ends)
                 added: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-                for (d, word), tags in zip(places, model.decode(sequences)):
+                for (d, word), tags in zip(places, model.decode(sequences, held)):
                     i = 0
                     while i < len(tags):
                         if tags[i] == 0:
@@ -354,10 +437,12 @@ def _find(model: Crf, text: str):
                         while j < len(tags) and tags[j] == 2 + 2 * kind:
                             j += 1
                         begin, end = int(words.starts[word + i]), int(words.ends[word + j - 1])
+                        i = j
+                        if marked and marks[end] == marks[begin]:
+                            continue
                         while end > begin + 1 and data[end - 1] in b".,;:!?)%$&#*\"'":
                             end -= 1
                         added[d].append((begin - int(offsets[d]), kind, end - int(offsets[d])))
-                        i = j
                 rows = []
                 for d in range(n):
                     spans = [(a, k, z, True) for a, k, z in base[d]]
@@ -404,14 +489,16 @@ def find_pii(
 
     ``base`` spans match a fixed pattern and always stay; patterns of different
     kinds may overlap. The others are tagged by the CRF, trained on ``labelled`` (a
-    few hundred lines of words and tags, ``TAGS``); they overlap no other span.
+    few hundred lines of words and tags, ``TAGS``), over all words; they overlap no
+    other span, and hold a digit, ``@``, ``+`` or bracket if all labelled ones do.
     Null, empty and clean texts have an empty array. Repeated rows are searched
     each. A column named ``pii`` is replaced. Texts are read whole.
     """
-    model = Crf().fit(labelled if labelled is not None else labelled_table())
+    table = labelled if labelled is not None else labelled_table()
+    model = Crf().fit(table)
     kept = docs.drop("pii")
     schema = T.StructType([*(f for f in kept.schema.fields if f.name != text), T.StructField("pii", _SPANS)])
-    return kept.mapInArrow(_find(model, text), schema)
+    return kept.mapInArrow(_find(model, text, spans_hold_marks(table)), schema)
 
 
 def span_text(spans: Column) -> Column:
