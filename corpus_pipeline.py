@@ -38,17 +38,25 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id.
+    """One document of each group of near copies: that with the smallest id, null last, then by a hash of the text.
 
     Texts without words are linked with nothing and stay. Rows that repeat id and
-    text are one document, also where the id is null.
+    text are one document, also where the id is null. Documents are told apart by
+    id and text, so different texts under one id are judged each.
     """
     ship_package(spark)
-    classes = shingle_join.shingle_classes(docs, size=SHINGLE, percent=PERCENT)
-    copies = classes.where("component_id != doc_id").select("doc_id")
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    # without nulls inside, so that a join by it meets documents without an id
+    document = F.struct(
+        F.col("doc_id").isNull().alias("unnamed"),
+        F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"),
+        F.xxhash64("text").alias("text"),
+    )
+    keyed = docs.withColumn("__document", document)
+    classes = shingle_join.shingle_classes(keyed, "__document", size=SHINGLE, percent=PERCENT)
+    copies = classes.where("component_id != __document").select("__document")
+    again = Window.partitionBy("__document").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
     return (
-        docs.join(copies, "doc_id", "left_anti")
+        keyed.join(copies, "__document", "left_anti")
         .withColumn("__again", F.row_number().over(again))
         .where("__again = 1")
         .select(*docs.columns)

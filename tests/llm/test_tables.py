@@ -414,6 +414,32 @@ def test_pipeline_stages(spark, sf_dir):
     assert sorted(places) == list(range(len(places)))
 
 
+def test_near_copies_go_by_document_and_not_by_id(spark):
+    """Repeated ids with different texts and null ids, against all pairs."""
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        own = list(base[rng.randrange(12)]) if rng.random() < 0.7 else [f"v{rng.randrange(5000)}" for _ in range(40)]
+        if rng.random() < 0.5:
+            own[rng.randrange(len(own))] = f"n{i}"
+        rows.append((rng.choice([None, 1, 1, 2, rng.randrange(3, 100)]), " ".join(own), "en", "s", 0))
+    rows += [(i, t, "en", "s", 0) for i in (None, 1, 1, 7) for t in (None, "", " ", "one word")]
+    rows += [rows[0], (*rows[0][:4], 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = [tuple(r[:2]) for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()]
+    documents = sorted({r[:2] for r in rows}, key=lambda d: (d[0] is None, d[0] or 0))
+    classes = brute.shingle_classes([(k, t) for k, (_, t) in enumerate(documents)], 5, 80)
+    groups = defaultdict(list)
+    for k, d in enumerate(documents):
+        groups[classes[k][1]].append(d)
+    assert len(got) == len(groups) == len(set(got))
+    for members in groups.values():
+        kept = [d for d in got if d in members]
+        assert len(kept) == 1 and kept[0][0] == members[0][0]  # the smallest id; null only where all are
+    assert any(len({d for d in got if d[0] == i}) > 1 for i in (1, None))
+
+
 def test_pipeline_runs_and_repeats(spark, sf_dir):
     one, two = [sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "place", "shard", "slot").collect())) for _ in range(2)]
     assert one == two and one
