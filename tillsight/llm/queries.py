@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import curriculum, decontamination, neighbours, pii, quality, sharding, shingle_join, tokens
+from tillsight.llm import bpe, curriculum, decontamination, neighbours, pii, quality, sharding, shingle_join, tokens
 from tillsight.llm import toxicity, warc
 from tillsight.llm.shipping import ship_package
 from tillsight.plans.materialize import materialize
@@ -110,6 +110,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = "byte_bpe_multi_50k.tiktoken"
+    coded = bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    return bpe.decode_ids(coded, ranks).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
@@ -125,6 +135,7 @@ QUERIES: dict[str, Query] = {
         op8_token_counts,
         op9_curriculum,
         op10_pii,
+        op11_byte_bpe,
     )
 }
 
