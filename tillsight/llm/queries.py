@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, curriculum, decontamination, neighbours, pii, quality, sharding, shingle_join, tokens
-from tillsight.llm import toxicity, warc
+from tillsight.llm import bpe, curriculum, decontamination, hard_negatives, neighbours, pii, quality, sharding
+from tillsight.llm import shingle_join, tokens, toxicity, vector_codes, warc
 from tillsight.llm.shipping import ship_package
 from tillsight.plans.materialize import materialize
 
@@ -120,6 +120,22 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(vectors, lambda id: id % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    # stored, so that Spark knows its size when it chooses the join
+    sums = materialize(rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error")))
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return rows.join(sums, F.col("label").eqNullSafe(F.col("of")), "left").select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256")
+    )
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
@@ -136,6 +152,8 @@ QUERIES: dict[str, Query] = {
         op9_curriculum,
         op10_pii,
         op11_byte_bpe,
+        op12_hard_negatives,
+        op13_vector_codes,
     )
 }
 
@@ -232,3 +250,77 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
     sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (rn) left join named using (rn)
 """
+
+ORACLE_SQL["op12_hard_negatives"] = r"""
+with v as (
+    select row_number() over () as rn, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as e
+    from embeddings
+    where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+    select a.rn as anchor, a.vec_id as anchor_id, b.rn, b.vec_id, a.label = b.label as same,
+        list_dot_product(a.e, b.e)::bigint as score
+    from v a join v b on a.rn <> b.rn where a.vec_id % 100 = 0
+),
+p as (
+    select * from (
+        select *, row_number() over (partition by anchor order by score desc, vec_id nulls last) as nth from s where same
+    ) where nth <= 5
+),
+n as (
+    select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+        row_number() over (partition by p.anchor, p.nth order by s.score desc, s.vec_id nulls last)::int as rank
+    from p join s on s.anchor = p.anchor and not s.same
+    where 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+)
+select * from n where rank <= 10
+"""
+
+
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """Rounds of k-means by all distances, one common table after another; a distance is two squares less twice the product."""
+    ctes = [
+        """kept as materialized (
+    select row_number() over () as rn, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as v
+    from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)""",
+        """x as materialized (
+    select rn, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] as c, list_dot_product(c, c) as s
+    from kept, range(4) as t(p)
+)""",
+        """b0 as materialized (
+    select p, row_number() over (partition by p order by vec_id nulls last, v) - 1 as e, c, s
+    from x join kept using (rn) qualify e < 256
+)""",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"""a{r} as materialized (
+    select rn, p, arg_min(struct_pack(e := e, d := d), struct_pack(d := d, e := e)) as near
+    from (select rn, x.p, e, x.s - 2 * list_dot_product(x.c, b.c) + b.s as d from x join b{r} b on x.p = b.p) group by rn, p
+)""")
+        if r == rounds:
+            break
+        ctes.append(f"""m{r} as materialized (
+    select p, e, list(floor(total / n) order by i) as c
+    from (
+        select a.p, a.near.e as e, i, sum(x.c[i]) as total, count(*) as n
+        from a{r} a join x on a.rn = x.rn and a.p = x.p, unnest(range(1, len(x.c) + 1)) as t(i) group by a.p, a.near.e, i
+    ) group by p, e
+)""")
+        ctes.append(f"""b{r + 1} as materialized (
+    select b.p, b.e, coalesce(m.c, b.c) as c, list_dot_product(coalesce(m.c, b.c), coalesce(m.c, b.c)) as s
+    from b{r} b left join m{r} m on m.p = b.p and m.e = b.e
+)""")
+    ctes.append(f"""coded as (
+    select rn, string_agg(lower(printf('%02x', near.e::int)), '' order by p) as code, sum(near.d)::bigint as error from a{rounds} group by rn
+)""")
+    body = f"""
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+    (select sha256(string_agg(array_to_string(list_transform(c, lambda y: y::bigint), ','), ',' order by p, e)) from b{rounds}) as codebooks_sha256
+from kept join coded using (rn)
+"""
+    return "with " + ",\n".join(ctes) + body
+
+
+ORACLE_SQL["op13_vector_codes"] = _vector_codes_sql()
