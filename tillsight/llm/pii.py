@@ -1,10 +1,11 @@
 """Personal data in whole texts: fixed patterns, and a linear-chain CRF over word shapes that adds to them.
 
 The patterns are found around their rare characters only, on bytes. The CRF reads
-every word; it is trained from a small labelled table by gradient ascent. A bound on
-what tags can gain over ``O`` shows where the best path has to be ``O``; Viterbi
-decodes the runs of words between, many at once, so the tags are those of whole texts,
-except near the cuts of runs of more than ``LONGEST`` words.
+every unit; it is trained from a small labelled table by gradient ascent. A unit is
+what stands between blanks, cut again where the kind of writing changes (``units``),
+so glued text hides nothing. A bound on what tags can gain over ``O`` shows where the
+best path has to be ``O``; Viterbi decodes the runs of units between, each whole and
+many at once, so the tags are those of whole texts.
 Where each span of the labelled table holds a mark (a digit, ``@``, ``+`` or a
 bracket), a span without one has no form that was taught, and is none.
 """
@@ -25,10 +26,8 @@ from pyspark.sql import types as T
 from tillsight.llm import words as W
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Words on each side of a run that its pieces are read with.
-CONTEXT = 3
-#: Words in a sequence; longer ones are decoded in pieces that overlap by ``CONTEXT``.
-LONGEST = 256
+#: Digits of a number that is a unit of its own where it is glued to other text.
+LONG_NUMBER = 7
 
 
 def _bytes(*parts: str) -> np.ndarray:
@@ -40,6 +39,10 @@ def _bytes(*parts: str) -> np.ndarray:
 _DIGIT = _bytes("0123456789")
 _LETTER = _bytes("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _MARK = _DIGIT | _bytes("@+()[]")
+_NUMBER = _DIGIT | _bytes("+()./-")
+_JOINS_WIDE = _DIGIT | _LETTER | _bytes("+()[]@")
+#: First bytes of characters from U+3000 on: scripts that are written without blanks.
+_WIDE = 0xE3
 _IN_EMAIL = _DIGIT | _LETTER | _bytes("._%+-@")
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(rb"[0-9]+(?:\.[0-9]+)*")
@@ -126,15 +129,25 @@ _BUCKETS = 4096
 _RUNS = re.compile(r"(.)\1+")
 
 
-@lru_cache(maxsize=200_000)
+#: Longer shapes are not kept; with their number this bounds the bytes that are.
+_KEPT_SHAPE = 64
+
+
 def _features(word: str) -> tuple[int, ...]:
-    """Hashed features of one word: its shape, the shape without runs, its ends and its count of digits."""
-    shape = "".join(
-        "d" if c.isascii() and c.isdigit() else "x" if c.isalpha() or not c.isascii() else c for c in word[:40]
-    )
+    """Hashed features of one unit, all of it: its shape, the shape without runs, its ends and its count of digits."""
+    return _kept_features(word) if len(word) <= _KEPT_SHAPE else _shape_features(word)
+
+
+@lru_cache(maxsize=50_000)
+def _kept_features(word: str) -> tuple[int, ...]:
+    return _shape_features(word)
+
+
+def _shape_features(word: str) -> tuple[int, ...]:
+    shape = "".join("d" if c.isascii() and c.isdigit() else "x" if c.isalpha() or not c.isascii() else c for c in word)
     digits = sum(c == "d" for c in shape)
     names = (
-        f"s{shape if len(shape) <= 20 else ''}",
+        f"s{shape}",
         f"c{_RUNS.sub(lambda m: m[1], shape)}",
         f"d{min(digits, 20)}",
         f"a{word[0] if not word[0].isalnum() else shape[0]}",
@@ -148,8 +161,10 @@ def _features(word: str) -> tuple[int, ...]:
 WIDTH = 7
 #: Features that a word has in common with the words next to it.
 NEAR = 3
-#: Words whose scores are held at a time.
+#: Units whose scores are held at a time.
 CHUNK = 1 << 16
+#: Sequences that are decoded together, and steps of all of them whose scores are held at a time.
+TOGETHER, CELLS = 2048, 1 << 14
 
 
 def sequence_features(words: list[str]) -> np.ndarray:
@@ -323,41 +338,67 @@ class Crf:
         edges = np.flatnonzero(some[1:] != some[:-1])
         return [(int(a), int(z)) for a, z in zip(edges[::2], edges[1::2])]
 
-    def decode(self, sequences: list[np.ndarray], held: list[tuple[bool, bool]] | None = None) -> list[np.ndarray]:
-        """Best tags of each sequence (rows of features), all sequences step by step together.
+    def decode(
+        self, sequences: list[np.ndarray | Run], held: list[tuple[bool, bool]] | None = None, cells: int = CELLS
+    ) -> list[np.ndarray]:
+        """Best tags of each sequence (rows of features, or a run of units), sequences step by step together.
 
-        ``held`` says whether the first and the last word of a sequence have to be ``O``.
+        ``held`` says whether the first and the last unit of a sequence have to be
+        ``O``. A sequence is decoded whole, whatever its length: scores are held for
+        about ``cells`` steps at a time, back pointers for all.
         """
-        if not sequences:
-            return []
         order = np.argsort([-len(s) for s in sequences], kind="stable")
         out: list[np.ndarray] = [np.empty(0, int)] * len(sequences)
-        for low in range(0, len(order), 2048):
-            part = order[low : low + 2048]
-            n, t, k = len(part), len(sequences[part[0]]), len(TAGS)
-            lengths = np.array([len(sequences[i]) for i in part])
-            score = np.zeros((n, t, k))
-            for r, i in enumerate(part):
-                score[r, : lengths[r]] = self.emit[sequences[i]].sum(axis=1)
-                for word, fixed in zip((0, lengths[r] - 1), held[i] if held else ()):
-                    score[r, word, 1:] -= 1e6 * fixed
-            best, origin = score[:, 0].copy(), np.zeros((n, t, k), np.int8)
-            for s in range(1, t):
-                live = int(np.searchsorted(-lengths, -s, "left"))  # sorted by length: the first ones go on
-                reach = best[:live, :, None] + self.step
-                origin[:live, s] = reach.argmax(axis=1)
-                best[:live] = reach.max(axis=1) + score[:live, s]
+        low, k = 0, len(TAGS)
+        while low < len(order) and (t := len(sequences[order[low]])):
+            part = order[low : low + min(TOGETHER, max(1, cells // t))]
+            low += len(part)
+            n, lengths = len(part), np.array([len(sequences[i]) for i in part])
+            origin = np.zeros((t, n, k), np.int8)
+            for begin in range(0, t, max(1, cells // n)):
+                end = min(t, begin + max(1, cells // n))
+                score = np.zeros((n, end - begin, k))
+                for r, i in enumerate(part):
+                    stop = min(lengths[r], end)
+                    if stop <= begin:
+                        break  # sorted by length
+                    score[r, : stop - begin] = self.emit[sequences[i][begin:stop]].sum(axis=1)
+                    for word, fixed in zip((0, lengths[r] - 1), held[i] if held else ()):
+                        if fixed and begin <= word < stop:
+                            score[r, word - begin, 1:] -= 1e6
+                if not begin:
+                    best = score[:, 0].copy()
+                for s in range(max(begin, 1), end):
+                    live = int(np.searchsorted(-lengths, -s, "left"))  # sorted by length: the first ones go on
+                    reach = best[:live, :, None] + self.step
+                    origin[s, :live] = reach.argmax(axis=1)
+                    best[:live] = reach.max(axis=1) + score[:live, s - begin]
             tag = best.argmax(axis=1)
-            path = np.zeros((n, t), int)
+            path = np.zeros((t, n), np.int8)
             for s in range(t - 1, -1, -1):
                 live = lengths > s
-                path[live, s] = tag[live]
-                tag = np.where(live, origin[np.arange(n), s, tag], tag)
+                path[s, live] = tag[live]
+                tag = np.where(live, origin[s, np.arange(n), tag], tag)
             for r, i in enumerate(part):
-                out[i] = path[r, : lengths[r]]
+                out[i] = path[: lengths[r], r].astype(int)
         return out
 
 
+class Run:
+    """Units ``first`` to ``stop`` of a block as a sequence whose features are made when they are asked for."""
+
+    def __init__(self, shapes: W.Words, first: int, stop: int) -> None:
+        self.shapes, self.first, self.stop = shapes, first, stop
+
+    def __len__(self) -> int:
+        return self.stop - self.first
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        low, high = self.first + part.start, min(self.first + part.stop, self.stop)
+        a, z = max(low - 1, self.first), min(high + 1, self.stop)
+        return sequence_features(word_texts(self.shapes, np.arange(a, z)))[low - a : high - a]
+
+
 @lru_cache(maxsize=1)
 def _plain() -> np.ndarray:
     """Each code point, or ``0`` for the ASCII digits and ``x`` for other digits and all letters."""
@@ -369,6 +410,8 @@ def _plain() -> np.ndarray:
 
 def plain_shapes(words: W.Words) -> W.Words:
     """The words in code points, with what their features cannot tell apart made equal: few distinct ones."""
+    if words.data.dtype != np.uint8:
+        return words
     try:
         codes = np.frombuffer(words.data.tobytes().decode().encode("utf-32-le"), np.uint32)
     except UnicodeDecodeError:
@@ -395,13 +438,77 @@ def spans_hold_marks(table: list[tuple[list[str], list[str]]]) -> bool:
     return True
 
 
+def units(words: W.Words) -> W.Words:
+    """Words cut where the kind of writing changes.
+
+    That is between a script without blanks and letters, digits or marks beside it;
+    and at the ends of a number that is glued to other text, if it has
+    ``LONG_NUMBER`` digits or begins with a plus sign or a bracket. Words with an
+    at-sign keep their numbers, and plain digits stay with the ASCII letters next to
+    them, as in keys and checksums.
+    """
+    data = words.data
+    if not len(words.starts):
+        return words
+    cuts = []
+    inside = np.zeros(len(data) + 1, bool)  # whether a place is between two bytes of one word
+    breaks = np.zeros(len(data) + 2, np.int64)
+    np.add.at(breaks, words.starts + 1, 1)
+    np.add.at(breaks, words.ends, -1)
+    inside[:] = np.cumsum(breaks)[: len(data) + 1] > 0
+    if (data >= _WIDE).any():
+        lead = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, np.arange(len(data)), 0))
+        wide = data[lead] >= _WIDE
+        joins = np.where(wide[1:], _JOINS_WIDE[data[:-1]], _JOINS_WIDE[data[1:]])
+        cuts.append(np.flatnonzero((wide[1:] != wide[:-1]) & joins & inside[1:-1]) + 1)
+    number = np.concatenate([[False], _NUMBER[data], [False]])
+    begin = np.flatnonzero(number[1:-1] & ~(number[:-2] & inside[:-1]))
+    end = np.flatnonzero(number[1:-1] & ~(number[2:] & inside[1:])) + 1
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
+    at = np.searchsorted(words.starts, begin, "right") - 1
+    known = at >= 0
+    begin, end, at = begin[known], end[known], at[known]
+    first, last = words.starts[at], words.ends[at]
+    glued = ((begin > first) | (end < last)) & (digits[end] - digits[begin] >= 3)
+    for a, z, low, high in zip(begin[glued], end[glued], first[glued], last[glued]):
+        word, run = data[low:high].tobytes(), data[a:z].tobytes()
+        a, z = a + len(run) - len(run.lstrip(b"./-)")), z - (len(run) - len(run.rstrip(b"./-+(")))
+        if b"@" in word or a >= z or (digits[z] - digits[a] < LONG_NUMBER and data[a] not in b"+("):
+            continue
+        if digits[z] - digits[a] == z - a and any(chr(c).isalnum() and c < 128 for c in data[[max(a - 1, low), min(z, high - 1)]][[a > low, z < high]]):
+            continue
+        for cut, rest in ((a, word[: a - low]), (z, word[z - low :])):
+            if any(c >= 128 or chr(c).isalnum() for c in rest):
+                cuts.append(np.array([cut]))
+    cuts = np.unique(np.concatenate(cuts)) if cuts else np.empty(0, np.int64)
+    cuts = cuts[inside[cuts]]
+    starts, ends = np.union1d(words.starts, cuts), np.union1d(words.ends, cuts)
+    return W.Words(data, words.offsets, starts, ends, np.searchsorted(starts, words.offsets))
+
+
+def split_units(data: np.ndarray, offsets: np.ndarray) -> W.Words:
+    return units(W.split(data, offsets, W.NON_SPACE))
+
+
+def table_of_units(table: list[tuple[list[str], list[str]]]) -> list[tuple[list[str], list[str]]]:
+    """A labelled table with its words cut into units as texts are."""
+    out = []
+    for words, tags in table:
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        whole = W.split(data, np.array([0, len(data)]), W.NON_SPACE)
+        if len(whole.starts) != len(words):
+            raise ValueError("words of a labelled table are not empty and hold no blanks")
+        cut = units(whole)
+        of = np.searchsorted(whole.starts, cut.starts, "right") - 1
+        new = np.isin(cut.starts, whole.starts)
+        text = [data[a:z].tobytes().decode() for a, z in zip(cut.starts, cut.ends)]
+        out.append((text, [tags[i] if n or tags[i] == "O" else f"I{tags[i][1:]}" for i, n in zip(of, new)]))
+    return out
+
+
 def windows(runs: list[tuple[int, int]], words: int) -> list[tuple[int, int, tuple[bool, bool]]]:
-    """``runs`` with the words next to them, which are ``O``, in pieces of ``LONGEST``; last, which ends are such words."""
-    return [
-        (max(b - 1, 0) if b == a else b, min(b + LONGEST, z + 1, words), (b == a > 0, b + LONGEST > z < words))
-        for a, z in runs
-        for b in range(a, max(z - CONTEXT, a + 1), LONGEST - CONTEXT)
-    ]
+    """``runs`` with the units next to them, which are ``O``; last, which ends are such units."""
+    return [(max(a - 1, 0), min(z + 1, words), (a > 0, z < words)) for a, z in runs]
 
 
 def _find(model: Crf, text: str, marked: bool):
@@ -409,9 +516,10 @@ def _find(model: Crf, text: str, marked: bool):
         for batch in batches:
             for first, stop, data, offsets in W.text_blocks(batch.column(text)):
                 n = stop - first
-                words = W.split(data, offsets, W.NON_SPACE)
+                words = split_units(data, offsets)
+                shapes = plain_shapes(words)
                 marks = np.concatenate([[0], np.cumsum(_MARK[data], dtype=np.int64)])
-                gain = model.gains(words)
+                gain = model.gains(shapes)
                 lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])  # code points before a byte
                 base: list[list[tuple[int, int, int]]] = []
                 sequences, places, held = [], [], []
@@ -423,7 +531,7 @@ def _find(model: Crf, text: str, marked: bool):
                     if marked:
                         runs = [(b, e) for b, e in runs if marks[words.ends[a + e - 1]] > marks[words.starts[a + b]]]
                     for b, e, ends in windows(runs, z - a):
-                        sequences.append(sequence_features(word_texts(words, np.arange(a + b, a + e))))
+                        sequences.append(Run(shapes, a + b, a + e))
                         places.append((d, a + b))
                         held.append(ends)
                 added: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
@@ -489,13 +597,14 @@ def find_pii(
 
     ``base`` spans match a fixed pattern and always stay; patterns of different
     kinds may overlap. The others are tagged by the CRF, trained on ``labelled`` (a
-    few hundred lines of words and tags, ``TAGS``), over all words; they overlap no
+    few hundred lines of words and tags, ``TAGS``), over all units; they overlap no
     other span, and hold a digit, ``@``, ``+`` or bracket if all labelled ones do.
-    Null, empty and clean texts have an empty array. Repeated rows are searched
+    A span begins and ends with a unit, so it may be part of a word. Null, empty and
+    clean texts have an empty array. Repeated rows are searched
     each. A column named ``pii`` is replaced. Texts are read whole.
     """
     table = labelled if labelled is not None else labelled_table()
-    model = Crf().fit(table)
+    model = Crf().fit(table_of_units(table))
     kept = docs.drop("pii")
     schema = T.StructType([*(f for f in kept.schema.fields if f.name != text), T.StructField("pii", _SPANS)])
     return kept.mapInArrow(_find(model, text, spans_hold_marks(table)), schema)
