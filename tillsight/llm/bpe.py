@@ -35,11 +35,11 @@ from pyspark.sql import types as T
 #: Characters after a piece that may decide where it ends.
 LOOK = 3
 #: Pieces that are encoded at once, bytes of an output batch, bytes of pieces whose codes are kept.
-PIECES, BATCH_BYTES, KEPT_BYTES = 65_536, 4 << 20, 128 << 20
+PIECES, BATCH_BYTES, KEPT_BYTES = 65_536, 4 << 20, 96 << 20
 #: Longer pieces are not kept.
 KEPT_PIECE = 64
 #: Pairs of neighbours whose fit is kept.
-KEPT_PAIRS = 1 << 20
+KEPT_PAIRS = 1 << 18
 
 
 class Ranks:
@@ -60,7 +60,7 @@ class Ranks:
         self.made = [-1] * len(self.token)
         self.left, self.right = list(range(len(self.token))), list(range(len(self.token)))
         self.merged: dict[tuple[int, int], int] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self.ends = ahocorasick.Automaton()
         for piece, rank in sorted(ids.items(), key=lambda item: item[1]):
             self.token[rank] = piece
@@ -105,16 +105,17 @@ class Ranks:
                 return True
 
     def fit(self, one: int, two: int) -> bool:
-        known = self._pairs.get((one, two))
+        pair = one * len(self.token) + two
+        known = self._pairs.get(pair)
         if known is None:
             if len(self._pairs) >= KEPT_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[one, two] = self._fit(one, two)
+            known = self._pairs[pair] = self._fit(one, two)
         return known
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of a byte string, from the last tokens of all its prefixes."""
-        last, size, known, fit = [-1] * (len(data) + 1), self.size, self._pairs.get, self.fit
+        last, size, known, fit, count = [-1] * (len(data) + 1), self.size, self._pairs.get, self.fit, len(self.token)
         for end, token in self.ends.iter(data.decode("latin-1")):
             end += 1
             if last[end] < 0:
@@ -122,7 +123,7 @@ class Ranks:
                 if not start:
                     last[end] = token
                 else:
-                    fits = known((last[start], token))
+                    fits = known(last[start] * count + token)
                     if fits or (fits is None and fit(last[start], token)):
                         last[end] = token
         return self.walk(last)
@@ -203,7 +204,7 @@ class Coder:
             if self._kept > KEPT_BYTES // 2:
                 self._older, self._codes, self._kept = self._codes, {}, 0
             self._codes[piece] = code
-            self._kept += 250 + 4 * len(piece)
+            self._kept += 160 + 2 * len(piece)
         return code
 
     def codes(self, pieces: list[str]) -> list[bytes]:
