@@ -65,7 +65,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
