@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -34,6 +35,7 @@ def test_ids_are_those_of_the_library(name):
     for text in [*made_texts(random.Random(1), 800), *long]:
         ids, counts = coder.encode(text)
         assert ids.tolist() == own.encode_ordinary(text) and counts.sum() == len(ids)
+        assert np.array_equal(coder.encode_ids(text), ids)
         assert coder.decode(ids) == text.encode()
 
 
@@ -91,7 +93,7 @@ def test_edited_tables(spark):
     rows = [(i, t, (b := rng.randint(0, len(t or ""))), rng.randint(b, len(t or "") + 2), rng.choice([*PARTS, None, ""]), i) for i, t in enumerate(texts)]
     rows += [(100, "to the end", None, None, "less", 0), (101, "word " * 2000, 5000, 5001, "x", 0)]
     frame = spark.createDataFrame(rows, "id long, text string, begin int, end int, new string, pieces_again int")
-    coded = bpe.encode_texts(frame.withColumn("body", F.col("text")), name, text="body")
+    coded = bpe.encode_texts(frame.withColumn("body", F.col("text")), name, text="body", pieces=True)
     coder = bpe.load(name)
     got = {r["id"]: r for r in bpe.edit_texts(coded, name).collect()}
     assert set(got) == {r[0] for r in rows}

@@ -28,6 +28,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +53,7 @@ class Ranks:
     def __init__(self, lines: Iterator[bytes]) -> None:
         import ahocorasick
 
-        ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+        ids = _read(lines)
         if sum(len(t) == 1 for t in ids) != 256:
             raise ValueError("not every byte is a token")
         self.token: list[bytes] = [b""] * (max(ids.values()) + 1)
@@ -211,18 +212,25 @@ class Coder:
         known = list(map(self._codes.get, pieces))
         return [self._new(p) if code is None else code for p, code in zip(pieces, known)] if None in known else known
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a text and the number of ids in each piece."""
-        ids, counts = [], []
+    def _pieces(self, text: str) -> Iterator[list[str]]:
+        if len(text) <= PIECES:
+            yield self.pattern.findall(text)
+            return
         matches = map(itemgetter(0), self.pattern.finditer(text))
         while some := list(islice(matches, PIECES)):
-            made = self.codes(some)
-            ids.append(b"".join(made))
-            counts.append(np.fromiter(map(len, made), np.int32, len(made)) // 4)
-        return np.frombuffer(b"".join(ids), np.int32), np.concatenate([np.empty(0, np.int32), *counts])
+            yield some
+
+    def encode_ids(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        return np.frombuffer(b"".join([b"".join(self.codes(some)) for some in self._pieces(text)]), np.int32)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a text and the number of ids in each piece."""
+        made = [code for some in self._pieces(text) for code in self.codes(some)]
+        return np.frombuffer(b"".join(made), np.int32), np.fromiter(map(len, made), np.int32, len(made)) // 4
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.ranks.token.__getitem__, ids.tolist()))
+        return decode(self.ranks.token, ids)
 
     def edit(
         self, text: str, ids: np.ndarray, counts: np.ndarray, begin: int, end: int, new: str
@@ -252,15 +260,42 @@ class Coder:
         )
 
 
+def decode(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def _read(lines: Iterator[bytes]) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+
+
+def _path(name: str) -> str:
+    """A path, or the place of a file of the public collection."""
+    if os.path.exists(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@lru_cache(maxsize=4)
+def load_tokens(name: str) -> list[bytes]:
+    """The bytes of every id, which is all that decoding needs."""
+    with open(_path(name), "rb") as lines:
+        ids = _read(lines)
+    tokens = [b""] * (max(ids.values()) + 1)
+    for token, rank in ids.items():
+        tokens[rank] = token
+    return tokens
+
+
 @lru_cache(maxsize=4)
 def load(name: str, pattern: str | None = None) -> Coder:
     """The coder of a rank file: a path, or a file of the public collection with its pattern."""
-    if not os.path.exists(name) or pattern is None:
+    if pattern is None:
         import public_tokenizers
 
-        name = name if os.path.exists(name) else public_tokenizers.path(name)
-        pattern = pattern or public_tokenizers.PATTERN
-    with open(name, "rb") as lines:
+        pattern = public_tokenizers.PATTERN
+    with open(_path(name), "rb") as lines:
         return Coder(Ranks(lines), pattern)
 
 
@@ -279,56 +314,64 @@ def _row_blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def _encode(name: str, pattern: str | None, kept: list[str]):
+def _encode(name: str, pattern: str | None, kept: list[str], pieces: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(name, pattern)
         for batch in batches:
             texts = batch.column("__text")
-            for low, high in _row_blocks(np.array(texts.nbytes and [len(t.as_buffer()) for t in texts], np.int64)):
-                coded = [coder.encode(texts[i].as_py()) for i in range(low, high)]
+            for low, high in _row_blocks(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)):
+                own = [texts[i].as_py() for i in range(low, high)]
+                if pieces:
+                    coded = [coder.encode(text) for text in own]
+                    made = [_lists([c[k] for c in coded]) for k in (0, 1)]
+                else:
+                    made = [_lists([coder.encode_ids(text) for text in own])]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(low, high - low) for c in kept), _lists([c[0] for c in coded]), _lists([c[1] for c in coded])],
-                    [*kept, "ids", "piece_ids"],
+                    [*(batch.column(c).slice(low, high - low) for c in kept), *made], [*kept, *_MADE[: len(made)]]
                 )
 
     return run
 
 
 _IDS = T.ArrayType(T.IntegerType())
+_MADE = ["ids", "piece_ids"]
 
 
-def encode_texts(docs: DataFrame, ranks: str, pattern: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``ids`` and ``piece_ids`` (the number of ids in each piece).
+def encode_texts(
+    docs: DataFrame, ranks: str, pattern: str | None = None, text: str = "text", pieces: bool = False
+) -> DataFrame:
+    """``docs`` without its text, with ``ids``, and with ``piece_ids`` (the number of ids in each piece) if ``pieces`` are asked for.
 
     ``ranks`` is a rank file that every executor can read. Null and empty texts
     have no ids. Strings of special tokens are ordinary text. Rows are encoded one
     by one, repeated ones too; columns named like a result are replaced.
     """
-    kept = [c for c in docs.columns if c not in (text, "ids", "piece_ids")]
+    made = _MADE if pieces else _MADE[:1]
+    kept = [c for c in docs.columns if c not in (text, *made)]
     rows = docs.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("ids", _IDS), T.StructField("piece_ids", _IDS)])
-    return rows.mapInArrow(_encode(ranks, pattern, kept), schema)
+    schema = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(c, _IDS) for c in made)])
+    return rows.mapInArrow(_encode(ranks, pattern, kept, pieces), schema)
 
 
-def _decode(name: str, pattern: str | None, kept: list[str], ids: str):
+def _decode(name: str, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = load(name, pattern)
+        tokens = load_tokens(name)
         for batch in batches:
             lists = batch.column("__ids")
             edges, flat = np.asarray(lists.offsets), np.asarray(lists.values)
             for low, high in _row_blocks(8 * np.diff(edges)):
-                bodies = pa.array([coder.decode(flat[a:z]) for a, z in zip(edges[low:high], edges[low + 1 : high + 1])], pa.binary())
+                bodies = pa.array([decode(tokens, flat[a:z]) for a, z in zip(edges[low:high], edges[low + 1 : high + 1])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in kept), bodies], [*kept, "decoded"])
 
     return run
 
 
-def decode_ids(coded: DataFrame, ranks: str, pattern: str | None = None, ids: str = "ids") -> DataFrame:
+def decode_ids(coded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
     """``coded`` with the bytes that its ids stand for as ``decoded``; a null list has none. Any list of ids can be decoded."""
     kept = [c for c in coded.columns if c != "decoded"]
     rows = coded.select(*kept, F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("__ids"))
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())])
-    return rows.mapInArrow(_decode(ranks, pattern, kept, ids), schema)
+    return rows.mapInArrow(_decode(ranks, kept), schema)
 
 
 def _edit(name: str, pattern: str | None, kept: list[str]):
