@@ -6,12 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: What has been stored, for every ``only_kept`` that is open: path and session.
+_open: list[dict[str, SparkSession]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,9 +54,35 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     _paths[stored] = path
+    for stored_here in _open:
+        stored_here[path] = spark
     return stored
 
 
+@contextmanager
+def only_kept() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that are materialized inside, but for those passed to the function it yields.
+
+        with only_kept() as keep:
+            result = keep(materialize(...))
+    """
+    stored_here: dict[str, SparkSession] = {}
+    kept: set[str] = set()
+
+    def keep(stored: DataFrame) -> DataFrame:
+        kept.add(_paths[stored])
+        return stored
+
+    _open.append(stored_here)
+    try:
+        yield keep
+    finally:
+        _open.remove(stored_here)
+        for path, spark in stored_here.items():
+            if path not in kept:
+                _delete(spark, path)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
