@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.plans.materialize import materialize
+from tillsight.plans.materialize import drop, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,13 +30,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)``: the smallest node it is connected with.
 
     Nulls and loops are left out. Each round is written to the shared folder, so
-    lineage stays short and a lost executor costs one round. Rounds grow with the
-    logarithm of the longest chain.
+    lineage stays short and a lost executor costs one round; the round before is then
+    deleted. Rounds grow with the logarithm of the longest chain.
     """
     edges = materialize(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct())
     seen = None
     while True:
+        before = edges
         edges = materialize(_stars(_stars(edges, large=True).where("u != v"), large=False).where("u != v"))
+        drop(before)
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break

@@ -171,3 +171,32 @@ def training_order(mixed: DataFrame) -> DataFrame:
     """One row per use of a document, with ``epoch``, ``position`` and ``words``, range-sorted by position."""
     used = mixed.drop("epoch", "position", "words").withColumn("__use", F.explode("copies"))
     return used.select(*[c for c in used.columns if c not in ("copies", "__use")], "__use.*").orderBy("position")
+
+
+def replay(
+    uses: DataFrame, document: str, row: str, source: str = "source", size: str = "size", order: str = "order"
+) -> DataFrame:
+    """``uses`` with ``epoch`` and ``position``: when each row of a mixed corpus is read.
+
+    ``uses`` has a row for every use of a document, as a mix makes them: rows of one
+    document and source are its epochs, told apart by ``row``. A source's target is
+    the sum of its uses, so positions follow from the corpus alone. Rows without
+    words have none. Rows of a document beyond those that the streams can hold get
+    its last position. ``uses`` is narrow: it is shuffled by document.
+    """
+    same = [document, source]
+    docs = uses.groupBy(*same).agg(F.first(size).alias(size), F.first(order).alias(order), F.count(F.lit(1)).alias("__uses"))
+    docs = docs.withColumn("doc_id", F.col(document))
+    taken = docs.groupBy(F.col(source).alias("__taker")).agg(F.sum(F.col(size) * F.col("__uses")).cast("double").alias("target"))
+    sizes = weigh_by_rank(source_sizes(docs, source, size))
+    plan = sizes.join(taken, F.col("source").eqNullSafe(F.col("__taker"))).drop("__taker")
+    read = mix(docs, plan, source, size, order).select(
+        F.col(document).alias("__document"), F.col(source).alias("__of"), F.col("copies").alias("__copies")
+    )
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(row))
+    met = uses.withColumn("__nth", nth).join(
+        read, F.col(document).eqNullSafe(F.col("__document")) & F.col(source).eqNullSafe(F.col("__of")), "left"
+    )
+    copy = F.try_element_at("__copies", F.least(F.col("__nth"), F.size("__copies")))
+    use = F.when(F.size("__copies") > 0, copy)
+    return met.withColumns({"epoch": use["epoch"], "position": use["position"]}).drop("__nth", "__document", "__of", "__copies")

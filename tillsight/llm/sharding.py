@@ -47,15 +47,24 @@ def _walk(x: Column, rows: int, seed: int, steps: int) -> Column:
 
 
 def walk_steps(spark: SparkSession, rows: int, seed: int) -> int:
-    """Steps that provably bring every cell beyond the rows back: tried on all of them, fewer than ``sqrt(rows) + 1``."""
+    """Steps that bring every cell beyond the rows back that a row can come to.
+
+    Such a cell is entered from the rows and left towards them; cycles that lie
+    beyond the rows as a whole are entered by none. All cells beyond the rows, fewer
+    than ``sqrt(rows) + 1``, are looked at.
+    """
     a, b = _sides(rows)
-    steps = 2
-    while a * b > rows:
-        walked = spark.range(rows, a * b).select(_walk(F.col("id"), rows, seed, steps).alias("at"))
-        if not walked.where(F.col("at") >= rows).limit(1).count():
-            break
-        steps *= 2
-    return steps
+    if a * b <= rows:
+        return 1
+    beyond = spark.range(rows, a * b)
+    after = {r["id"]: r["to"] for r in beyond.select("id", permute(F.col("id"), rows, seed).alias("to")).collect()}
+    longest = 1
+    for at in set(after) - set(after.values()):  # entered from the rows; the chains have no cell in common
+        steps = 1
+        while (at := after[at]) in after:
+            steps += 1
+        longest = max(longest, steps)
+    return longest
 
 
 def place(spark: SparkSession, number: Column, rows: int, seed: int = 0) -> Column:
@@ -104,6 +113,44 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int = 8, seed: int = 0) -
     )
 
 
+#: Rows that an ordered shuffle moves about at most, and rows numbered by one task.
+WINDOW, PART_ROWS, MOST_PARTS = 4096, 100_000, 65_536
+
+
+def shard_in_order(
+    df: DataFrame, at: str, order: list[str], shards: int = 8, window: int = WINDOW, seed: int = 0
+) -> DataFrame:
+    """``df`` with ``place``, ``shard`` and ``slot``, shuffled only within windows of a given order.
+
+    Rows are numbered by ``at``, a moment from 0 to 1 (null last), then by
+    ``order``. Each ``window`` of consecutive numbers is permuted in itself, so a
+    shard's slots follow the order up to a window. Shard sizes differ by one at most
+    and slots have no gaps. ``df`` is narrow and stored: its rows are shuffled.
+    """
+    spark, rows = df.sparkSession, df.count()
+    parts = min(MOST_PARTS, max(1, -(-rows // PART_ROWS)))
+    moment = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(F.col(at) * parts)))
+    dealt = df.withColumn("__part", F.coalesce(moment, F.lit(parts)).cast("int"))
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
+    before = F.sum("__rows").over(Window.orderBy("__part")) - F.col("__rows")  # over MOST_PARTS + 1 rows at most
+    starts = counts.select("__part", before.alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(F.col(at).asc_nulls_last(), *order)) - 1
+    number = (F.col("__start") + within).cast("bigint")
+    full, rest = rows - rows % window, rows % window
+    inner = place(spark, F.col("__number") % window, window, seed) if full else F.lit(0).cast("bigint")
+    tail = place(spark, F.col("__number") - full, rest, seed) if rest else F.lit(0).cast("bigint")
+    base = F.col("__number") - F.col("__number") % window
+    placed = F.when(F.col("__number") < full, base + inner).otherwise(full + tail).cast("bigint")
+    return (
+        dealt.join(F.broadcast(starts), "__part")
+        .withColumn("__number", number)
+        .withColumn("place", placed)
+        .withColumn("shard", (F.col("place") % shards).cast("int"))
+        .withColumn("slot", F.floor(F.col("place") / shards).cast("bigint"))
+        .drop("__part", "__start", "__number")
+    )
+
+
 def document_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, size, text_crc32)``: UTF-8 bytes plus one, and the checksum of the text; null counts as empty."""
     body = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tillsight.llm import bloom
 from tillsight.llm import words as W
 from tillsight.llm.components import connected_components
-from tillsight.plans.materialize import materialize
+from tillsight.plans.materialize import drop, materialize
 
 LOSS = 1e-10
 GROUPS = 64
@@ -283,7 +283,7 @@ def shingle_classes(
     A null or wordless text has no shingles and is linked with nothing: its
     component is its own key. Repeated rows stay, in one component. A row with a
     null key brings no links; it gets the component of the rows with its own set,
-    or null. Other columns of ``docs`` are not read. Shingles and nodes are told apart by 64-bit hashes.
+    or null. The result is stored, and all that led to it deleted. Other columns of ``docs`` are not read. Shingles and nodes are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     bands, rows = bands_for(percent)
@@ -339,8 +339,13 @@ def shingle_classes(
     )
     least = labels.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named_nodes = materialize(labels.join(least, "root").select("node", "component_id"))
-    return nodes.join(named_nodes, "node", "left").select(
-        F.col("row_id").alias(key),
-        "n_shingles",
-        F.when(F.col("node").isNull(), F.col("row_id")).otherwise(F.col("component_id")).alias("component_id"),
+    result = materialize(
+        nodes.join(named_nodes, "node", "left").select(
+            F.col("row_id").alias(key),
+            "n_shingles",
+            F.when(F.col("node").isNull(), F.col("row_id")).otherwise(F.col("component_id")).alias("component_id"),
+        )
     )
+    for inner in (nodes, classes, dealt, shared, clusters, named_nodes):
+        drop(inner)
+    return result
