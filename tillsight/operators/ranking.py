@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions import blank_concat
 from tillsight.operators.exploration import customer_revenue
-from tillsight.plans import dense_rank_top, first_n, roll_up
+from tillsight.plans import dense_rank_top, distinct_by_group, first_n, roll_up
 
 
 def top_n(
@@ -43,13 +43,15 @@ def top_customers(fact: DataFrame, customers: DataFrame, k: int = 10) -> DataFra
 
 
 def bottom_customers_by_orders(fact: DataFrame, customers: DataFrame, k: int = 3) -> DataFrame:
-    """Customers with the fewest distinct orders. At scale most customers may tie here."""
-    names = customers.select("customer_key", "customer_id", "first_name", "last_name")
-    orders = (
-        fact.select("customer_key", "order_number")
-        .join(names, "customer_key", "left")
-        .groupBy("customer_id", "first_name", "last_name")
-        .agg(F.countDistinct("order_number").alias("total_orders"))
-        .select("customer_id", blank_concat("first_name", "last_name").alias("customer_name"), "total_orders")
+    """Customers with the fewest distinct orders. At scale most customers may tie here.
+
+    Keys that share id and names are one customer; orders of unknown customers count as those of one.
+    """
+    names = ("customer_id", "first_name", "last_name")
+    known = customers.select(F.col("customer_key").alias("_member"), F.struct(*names).alias("_group"))
+    orders = distinct_by_group(
+        fact.select("customer_key", "order_number"), "customer_key", known, {}, {"total_orders": "order_number"}
+    ).select(
+        "_group.customer_id", blank_concat("_group.first_name", "_group.last_name").alias("customer_name"), "total_orders"
     )
     return dense_rank_top(orders, "total_orders", k, "order_rank", ascending=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillsight import labels
 from tillsight.functions import as_of_date, blank_concat, first_matching_band, month_diff, ratio, year_diff
 from tillsight.operators.segments import customer_segment
-from tillsight.plans import aggregate_with_distinct, match_key
+from tillsight.plans import distinct_by_group
 from tillsight.sources.files import register_views
 
 
@@ -47,16 +47,19 @@ def report_customers(
     dated = fact.filter(F.col("order_date").isNotNull()).select(
         "customer_key", "order_number", "product_key", "order_date", "quantity", "sales_amount"
     )
-    totals = aggregate_with_distinct(
-        match_key(dated, customers, "customer_key", "_known"),
-        "_known",
-        [
-            F.sum("sales_amount").alias("total_sales"),
-            F.sum("quantity").alias("total_quantity"),
-            F.min("order_date").alias("first_order_date"),
-            F.max("order_date").alias("last_order_date"),
-        ],
+    keys = customers.select(F.col("customer_key").alias("_member"), F.col("customer_key").alias("_group"))
+    totals = distinct_by_group(
+        dated,
+        "customer_key",
+        keys,
+        {
+            "total_sales": (F.sum, "sales_amount"),
+            "total_quantity": (F.sum, "quantity"),
+            "first_order_date": (F.min, "order_date"),
+            "last_order_date": (F.max, "order_date"),
+        },
         {"total_orders": "order_number", "total_products": "product_key"},
+        key_is_group=True,
     ).withColumn("lifespan_months", month_diff("first_order_date", "last_order_date"))
     attributes = customers.select(
         F.col("customer_key").alias("_key"),
@@ -65,8 +68,8 @@ def report_customers(
         "last_name",
         year_diff("birthdate", today).alias("age"),
     )
-    return totals.join(attributes, F.col("_known") == F.col("_key"), "left").select(
-        F.col("_known").alias("customer_key"),
+    return totals.join(attributes, F.col("_group") == F.col("_key"), "left").select(
+        F.col("_group").alias("customer_key"),
         "customer_number",
         blank_concat("first_name", "last_name").alias("customer_name"),
         "age",
@@ -101,24 +104,27 @@ def report_products(
     dated = fact.filter(F.col("order_date").isNotNull()).select(
         "product_key", "order_number", "customer_key", "order_date", "quantity", "sales_amount"
     )
-    totals = aggregate_with_distinct(
-        match_key(dated, products, "product_key", "_known"),
-        "_known",
-        [
-            F.sum("sales_amount").alias("total_sales"),
-            F.sum("quantity").alias("total_quantity"),
-            F.min("order_date").alias("first_sale_date"),
-            F.max("order_date").alias("last_sale_date"),
-        ],
+    keys = products.select(F.col("product_key").alias("_member"), F.col("product_key").alias("_group"))
+    totals = distinct_by_group(
+        dated,
+        "product_key",
+        keys,
+        {
+            "total_sales": (F.sum, "sales_amount"),
+            "total_quantity": (F.sum, "quantity"),
+            "first_sale_date": (F.min, "order_date"),
+            "last_sale_date": (F.max, "order_date"),
+        },
         {"total_orders": "order_number", "total_customers": "customer_key"},
+        key_is_group=True,
     ).withColumn("lifespan_months", month_diff("first_sale_date", "last_sale_date"))
     attributes = products.select(
         F.col("product_key").alias("_key"), "product_name", "category", "subcategory", "cost"
     )
     no_units = F.col("total_quantity") == 0
     unit_price = ratio("total_sales", "total_quantity")
-    return totals.join(attributes, F.col("_known") == F.col("_key"), "left").select(
-        F.col("_known").alias("product_key"),
+    return totals.join(attributes, F.col("_group") == F.col("_key"), "left").select(
+        F.col("_group").alias("product_key"),
         "product_name",
         "category",
         "subcategory",

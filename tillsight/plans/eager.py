@@ -10,7 +10,6 @@ dimension only when its measured size is under the session's threshold.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,35 +41,3 @@ def roll_up(
 def counts_by_key(df: DataFrame, key: str, name: str = "row_count") -> DataFrame:
     """Rows per key, NULL being one of the keys."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-
-
-def match_key(fact: DataFrame, dimension: DataFrame, key: str, name: str) -> DataFrame:
-    """Add ``name``: the key where the dimension has it, NULL where it does not.
-
-    Needed by distinct counts, which cannot be added up over unmatched keys. Only
-    the key column of the dimension takes part; its attributes are joined after
-    the aggregation. The key is unique in the dimension.
-    """
-    known = dimension.select(F.col(key).alias(name))
-    return fact.join(known, fact[key] == known[name], "left")
-
-
-def aggregate_with_distinct(
-    df: DataFrame, by: str, aggregates: Sequence[Column], distinct: dict[str, str]
-) -> DataFrame:
-    """Group by ``by`` with plain aggregates and exact distinct counts (output name -> column).
-
-    Several distinct counts in one aggregate make Spark write every row once per
-    count. One aggregate per count instead reads the shared columns again and
-    removes duplicates before its shuffle, spread by group and value. The parts
-    have one row per group; they are stacked and folded, which keeps a NULL group
-    and lets a later filter on ``by`` reach all of them.
-    """
-    first, *others = distinct.items()
-    parts = [df.groupBy(by).agg(*aggregates, F.countDistinct(first[1]).alias(first[0]))]
-    parts += [df.groupBy(by).agg(F.countDistinct(column).alias(name)) for name, column in others]
-    if not others:
-        return parts[0]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    # each measure has one value per group, in one of the parts
-    return stacked.groupBy(by).agg(*[F.max(c).alias(c) for c in stacked.columns if c != by])
