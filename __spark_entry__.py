@@ -6,6 +6,7 @@ Every query runs over whole tables. Money stays decimal inside the operators;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from tillsight.operators import basket, cohort, dashboard, exploration, kpi, pro
 from tillsight.operators import reports, segments, timeseries
 from tillsight.plans import new_path
 from tillsight.sources import bench_tables as tables
-from tillsight.sources import files
+from tillsight.sources import files, model
 
 AS_OF = tables.AS_OF
 
@@ -184,6 +185,71 @@ def _partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _permanent_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer report by name, filtered, in another session than the one that saved the model and made the view."""
+    database = f"tillsight_{uuid.uuid4().hex}"
+    saved = {
+        "fact_sales": tables.fact_sales(spark, sf_dir),
+        "dim_customers": tables.dim_customers_without_country(spark, sf_dir),
+        "dim_products": tables.dim_products(spark, sf_dir),
+    }
+    model.save_model(spark, saved, database, new_path(spark))
+    model.create_report_views(spark, database, AS_OF, products={"high": HIGH_SALES, "mid": MID_SALES})
+    other = spark.newSession()
+    return _plain(
+        other.sql(
+            f"""select 'customer' as report, customer_key as key, customer_segment as class, total_orders, total_sales, total_products as others
+                from {database}.report_customers where age_group = '30-39'
+                union all
+                select 'product', product_key, product_performance, total_orders, total_sales, total_customers
+                from {database}.report_products where category like 'STANDARD%'"""
+        )
+    )
+
+
+def _slice_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales by customer gender, for some quarters, categories and kinds of customers, from a fact stored by month."""
+    path = new_path(spark)
+    fact = tables.fact_sales(spark, sf_dir).withColumn("order_month", F.trunc("order_date", "month"))
+    files.write_parquet(fact, path, partition_by=["order_month"])
+    stored = files.read_parquet(spark, path)
+    months = dashboard.calendar_table(fact, "order_date").select(
+        F.trunc("date", "month").alias("order_month"), F.quarter("date").alias("quarter"), F.year("date").alias("year")
+    ).distinct()
+    people = tables.dim_customers_without_country(spark, sf_dir)
+    sliced = dashboard.slice_model(
+        stored,
+        [
+            (months, "order_month", {"quarter": [1, 3], "year": [1996, 1997]}),
+            (tables.dim_products(spark, sf_dir), "product_key", {"subcategory": ["Brand#11", "Brand#23", "Brand#45"]}),
+            (people, "customer_key", {"gender": ["Male", "Female"]}),
+        ],
+    )
+    return _plain(
+        sliced.join(people.select("customer_key", "gender"), "customer_key")
+        .groupBy("gender", F.quarter("order_date").alias("quarter"))
+        .agg(F.count(F.lit(1)).alias("total_lines"), F.sum("sales_amount").alias("total_sales"))
+    )
+
+
+def _sketch_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile of the fact from sketches by year, those of the last year added to the ones stored before."""
+    fact = tables.fact_sales(spark, sf_dir).withColumn("order_year", F.year("order_date"))
+    columns = ["order_number", "product_key", "customer_key", "order_date", "quantity", "sales_amount"]
+    path = new_path(spark)
+    for part in ("order_year < 1998 or order_year is null", "order_year >= 1998"):
+        sketches = profiling.column_sketches(fact.where(part), "order_year", columns)
+        files.write_parquet(sketches, path, mode="append")
+    told = profiling.profile_from_sketches(files.read_parquet(spark, path))
+    exact = profiling.column_profile({"fact_sales": fact.select(*columns)}).select(
+        F.col("column_name").alias("of"), F.col("distinct_count")
+    )
+    error = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) / F.greatest("distinct_count", F.lit(1))
+    return told.join(exact, F.col("column_name") == F.col("of")).select(
+        "column_name", "row_count", "null_count", "distinct_count", (error <= 0.05).alias("estimate_within_5_pct")
+    )
+
+
 def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
     """Queries and SQL of the training-data operators; none where that subpackage is not installed."""
     try:
@@ -208,6 +274,7 @@ def analytics() -> dict[str, Query]:
         "table_profile": _table_profile,
         "column_profile": _column_profile,
         "column_profile_one": _column_profile_one,
+        "sketch_profile": _sketch_profile,
         "dq_null_dates": _fact(lambda f: quality.null_count(f, "order_date", "null_order_dates")),
         "dq_duplicate_orders": _fact(lambda f: quality.duplicate_keys(f, "order_number")),
         "dq_bad_amounts": _fact(
@@ -242,6 +309,8 @@ def analytics() -> dict[str, Query]:
         # time series and segments
         "monthly_sales": _fact(timeseries.monthly_sales),
         "running_total_moving_avg": _fact(timeseries.running_and_moving),
+        "running_by_line": _fact(timeseries.running_by_line),
+        "running_by_customer_day": _fact(timeseries.running_by_customer_day),
         "yoy_product_by_name": _fact_products(timeseries.yoy_by_name),
         "category_contribution": _fact_products(exploration.category_contribution),
         "cost_segments": _products(segments.cost_segments),
@@ -286,6 +355,8 @@ def analytics() -> dict[str, Query]:
         # import, sinks, model and slicing
         "csv_import": _csv_import,
         "report_view": _report_view,
+        "permanent_views": _permanent_views,
+        "slice_model": _slice_model,
         "partitioned_sink": _partitioned_sink,
         "clean_table": _on("raw_food_orders")(_clean),
         "clean_table_by_key": _on("raw_food_orders")(_clean_by_key),

@@ -119,6 +119,20 @@ def apply_slicers(df: DataFrame, filters: dict[str, Sequence]) -> DataFrame:
     return df
 
 
+def slice_model(fact: DataFrame, slicers: Sequence[tuple[DataFrame, str, dict[str, list]]]) -> DataFrame:
+    """Facts whose dimensions have the chosen attributes: ``(dimension, key, {attribute: values})`` for each slicer.
+
+    A semi-join for each dimension, so no fact is repeated and attributes do not
+    travel. Where the fact is partitioned by a key, Spark reads only the partitions
+    that the sliced dimension holds. Facts of unknown keys are left out by a slicer on
+    that key; no chosen attribute means no restriction.
+    """
+    for dimension, key, chosen in slicers:
+        if chosen:
+            fact = fact.join(apply_slicers(dimension, chosen).select(key), key, "left_semi")
+    return fact
+
+
 def pivot_table(df: DataFrame, rows: Sequence[str], column: str, values: Sequence, measure: Column) -> DataFrame:
     """Rows by columns by one measure. The column values are given, so no extra pass looks for them."""
     return df.groupBy(*rows).pivot(column, list(values)).agg(measure)

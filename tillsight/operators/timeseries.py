@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillsight import labels
 from tillsight.functions import first_matching_band, month_name, ratio
 from tillsight.plans import roll_up
+from tillsight.plans.running import running_over_rows
 
 
 def _period(grain: str, column: str) -> Column:
@@ -55,6 +56,25 @@ def running_and_moving(fact: DataFrame, grain: str = "month", window: int = 3) -
     ).orderBy("date")
 
 
+def running_by_line(fact: DataFrame, window: int = 3) -> DataFrame:
+    """Running total and moving mean over dated order lines, by date, order, product and the rest of the line."""
+    lines = fact.filter(F.col("order_date").isNotNull()).select(
+        "order_date", "order_number", "product_key", "customer_key", "quantity", "sales_amount"
+    )
+    return running_over_rows(lines, lines.columns, "sales_amount", "running_total_sales", f"moving_avg_{window}", window)
+
+
+def running_by_customer_day(fact: DataFrame, window: int = 3) -> DataFrame:
+    """Running total and moving mean over the sales of each customer and day, by day and customer."""
+    per_day = (
+        fact.filter(F.col("order_date").isNotNull())
+        .groupBy("order_date", "customer_key")
+        .agg(F.sum("sales_amount").alias("total_sales"))
+    )
+    order = ["order_date", "customer_key"]
+    return running_over_rows(per_day, order, "total_sales", "running_total_sales", f"moving_avg_{window}", window)
+
+
 def _yearly_sales(fact: DataFrame, products: DataFrame, by: list[str]) -> DataFrame:
     dated = fact.filter(F.col("order_date").isNotNull())
     return roll_up(
