@@ -19,7 +19,9 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from typing import BinaryIO
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,8 +35,8 @@ from tillsight.plans.materialize import materialize, shared_folder
 ARCHIVE_BYTES, MEMBER_BYTES = 256 << 20, 64 << 20
 #: Records in neighbouring ranges that are read at once.
 READ_BYTES = 4 << 20
-#: Index lines in a unit of reading.
-UNIT_RECORDS = 2_000
+#: Index lines in a unit of reading, and bytes of records that a task reads.
+UNIT_RECORDS, TASK_BYTES = 2_000, 8 << 20
 WARC_DATE = "2020-01-01T00:00:00Z"
 INDEX = "indexes/index.cdxj"
 
@@ -48,7 +50,46 @@ def record_id(page: object) -> str:
 
 
 def _page(record: str | None) -> str | None:
-    return record[len("<urn:page:") : -1] or None if record else None
+    """The page of a record id; ids that this module has not made stay as they are."""
+    if record and record.startswith("<urn:page:"):
+        return record[len("<urn:page:") : -1] or None
+    return record.strip("<>") or None if record else None
+
+
+def sort_key(url: str) -> str:
+    """The address with its host turned round, as indexes are sorted: ``org,example)/path``."""
+    try:
+        parts = urlsplit(url)
+        host = ",".join(reversed((parts.hostname or "").split(".")))
+    except ValueError:
+        host = ""
+    key = f"{host}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower() if host else url
+    return "".join(quote(c) if c.isspace() else c for c in key) or "-"
+
+
+def index_line(record: bytes, member: str, offset: int, length: int) -> str:
+    """A CDXJ line: sort key, time, and a JSON object that says where the record is."""
+    warc, http, _ = parse_record(record)
+    entry = {
+        "url": warc.get("warc-target-uri", ""), "mime": http.get("content-type", "").partition(";")[0] or "warc/revisit",
+        "status": "200", "digest": warc.get("warc-payload-digest", ""), "length": str(length), "offset": str(offset),
+        "filename": member.rpartition("/")[2],
+    }
+    time = "".join(c for c in warc.get("warc-date", "") if c.isdigit())[:14]
+    return f"{sort_key(entry['url'])} {time} {json.dumps(entry, separators=(',', ':'))}"
+
+
+def read_index(raw: bytes) -> list[tuple[str, int, int]]:
+    """``(file name, offset, length)`` of every line of a CDXJ index, plain or gzipped, in the order of the records."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    out = []
+    for line in raw.decode("utf-8").splitlines():
+        brace = line.find("{")
+        if brace >= 0 and not line.startswith("!"):
+            entry = json.loads(line[brace:])
+            out.append((entry["filename"], int(entry["offset"]), int(entry["length"])))
+    return sorted(out)
 
 
 def make_record(page: object, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: object) -> bytes:
@@ -108,8 +149,7 @@ class ArchiveWriter:
             self.member = self.zip.open(zipfile.ZipInfo(self.name), "w", force_zip64=True)
             self.members, self.at = self.members + 1, 0
         self.member.write(data)
-        line = {"page": None if page is None else str(page), "member": self.name, "offset": self.at, "length": len(data)}
-        self.index.append(json.dumps(line, separators=(",", ":")))
+        self.index.append(index_line(record, self.name, self.at, len(data)))
         self.at += len(data)
         self.bytes += len(data)
 
@@ -121,8 +161,10 @@ class ArchiveWriter:
     def close(self) -> None:
         self._close_member()
         with self.zip.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as index:
-            for line in self.index:
+            for line in sorted(self.index):
                 index.write(line.encode() + b"\n")
+        with self.zip.open(zipfile.ZipInfo("datapackage.json"), "w") as package:
+            package.write(json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"path": INDEX}]}).encode())
         self.zip.close()
         self.target.close()
 
@@ -261,24 +303,29 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return materialize(records.mapInArrow(_write(folder), "archive string, records bigint"))
 
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_INDEXES = (".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")
+
+
+def _list(batches: Iterator[pa.RecordBatch], unit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive in batch.column("archive").to_pylist():
             system, path = _open(archive)
             size = system.get_file_info(path).size
             with system.open_input_file(path) as file:
-                members = {m.name: m for m in read_directory(file, size)}
+                wanted = ("archive/", "indexes/")
+                members = {m.name: m for m in read_directory(file, size) if m.name.startswith(wanted) and m.size}
                 starts = {name: data_start(file, m) for name, m in members.items()}
-                index = file.read_at(members[INDEX].size, starts[INDEX])
-            lines = [json.loads(x) for x in index.splitlines()]
+                named = [n for n in members if n.startswith("indexes/") and n.endswith(_INDEXES)]
+                lines = [x for n in named for x in read_index(file.read_at(members[n].size, starts[n]))]
+            at = {n: starts[n] for n in members} | {n.rpartition("/")[2]: starts[n] for n in members if n.startswith("archive/")}
             for low in range(0, len(lines), 10_000):
                 part = lines[low : low + 10_000]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([archive] * len(part), pa.string()),
-                        pa.array([(low + i) // UNIT_RECORDS for i in range(len(part))], pa.int64()),
-                        pa.array([starts[x["member"]] + x["offset"] for x in part], pa.int64()),
-                        pa.array([x["length"] for x in part], pa.int64()),
+                        pa.array([(low + i) // unit for i in range(len(part))], pa.int64()),
+                        pa.array([at[name] + offset for name, offset, _ in part], pa.int64()),
+                        pa.array([length for *_, length in part], pa.int64()),
                     ],
                     ["archive", "unit", "start", "length"],
                 )
@@ -299,12 +346,14 @@ _RECORD = T.StructType(
 
 def _parse(raw: bytes, payload: bool) -> tuple:
     warc, http, body = parse_record(raw)
-    digest, response = warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"] == "response"
-    if response and payload_digest(body) != digest:
+    response, told = warc["warc-type"] == "response", warc.get("warc-payload-digest", "")
+    digest = told.removeprefix("sha1:") or (payload_digest(body) if response else None)
+    if response and (told.startswith("sha1:") or not told) and payload_digest(body) != digest:
         raise ValueError(f"the payload of {warc['warc-record-id']} has another digest")
+    size = http.get("content-length")
     return (
-        _page(warc["warc-record-id"]), warc["warc-target-uri"] or None, warc["warc-type"], digest,
-        len(body) if response else int(http["content-length"]), _page(warc.get("warc-refers-to")),
+        _page(warc["warc-record-id"]), warc.get("warc-target-uri") or None, warc["warc-type"], digest,
+        len(body) if response else int(size) if size else None, _page(warc.get("warc-refers-to")),
         body if response and payload else None,
     )
 
@@ -354,13 +403,17 @@ def _read(payload: bool):
 def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
     """Every record of the files in ``archives`` (column ``archive``), with its payload if asked.
 
-    The index lines of an archive are dealt out in units, so one large archive is
-    read by many tasks; each reads its ranges in order. A response whose payload
+    Indexes are CDXJ, plain or gzipped, as any tool writes them; records that no
+    index names are not read. The index lines, stored, are dealt out in units to as
+    many tasks as the records' bytes ask for, so one large archive is read by many
+    tasks; each reads its ranges in order. A response whose payload
     does not have its digest, and a broken archive, stop the query. Null page ids
     and urls stay null (an empty url becomes null).
     """
-    ranges = archives.select("archive").mapInArrow(_list, "archive string, unit bigint, start bigint, length bigint")
-    dealt = ranges.repartition("archive", "unit").sortWithinPartitions("archive", "start")
+    ranges = archives.select("archive").mapInArrow(partial(_list, unit=UNIT_RECORDS), "archive string, unit bigint, start bigint, length bigint")
+    ranges = materialize(ranges)
+    tasks = max(1, -(-(ranges.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    dealt = ranges.repartition(tasks, "archive", "unit").sortWithinPartitions("archive", "start")
     return dealt.mapInArrow(_read(payload), _RECORD)
 
 
