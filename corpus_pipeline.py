@@ -37,6 +37,11 @@ def _document(rows: Veiled) -> Column:
     )
 
 
+def _never_broadcast(decisions: DataFrame) -> DataFrame:
+    """Decisions grow with the corpus: rows meet them by one shuffle at every size."""
+    return decisions.hint("merge")
+
+
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model does not reject.
 
@@ -76,7 +81,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         .select(F.col("document").alias("of"), F.when(F.col("copy").isNull(), F.col("first")).alias("stays"))
     )
     drop(classes)
-    left = keyed.join(goes, F.col("document") == F.col("of"), "left")
+    left = keyed.join(_never_broadcast(goes), F.col("document") == F.col("of"), "left")
     return rows.restore(left.where(F.col("of").isNull() | F.coalesce(F.col(ROW) == F.col("stays"), F.lit(False))))
 
 
@@ -114,7 +119,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(sized, sources).select(F.col(ROW).alias("of"), F.size("copies").alias("uses"))
     uses = materialize(mixed.where("uses > 0"))
     drop(sized)
-    read = rows.df.join(uses, F.col(ROW) == F.col("of")).withColumn("use", F.explode(F.sequence(F.lit(1), "uses")))
+    read = rows.df.join(_never_broadcast(uses), F.col(ROW) == F.col("of")).withColumn("use", F.explode(F.sequence(F.lit(1), "uses")))
     return rows.restore(read)
 
 
@@ -132,7 +137,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = [F.col(c) for c in ("source", "order", "document", "epoch", ROW)]
     more = ["text_crc32", "epoch", "position", "place", "shard", "slot"]
     placed = sharding.shard_in_order(read, "position", order, SHARDS).select(F.col(ROW).alias("of"), *more)
-    return rows.restore(rows.df.join(materialize(placed), F.col(ROW) == F.col("of")), *more)
+    return rows.restore(rows.df.join(_never_broadcast(materialize(placed)), F.col(ROW) == F.col("of")), *more)
 
 
 STAGES: list[tuple[str, Stage]] = [
