@@ -46,6 +46,23 @@ def test_every_character_is_cut_as_the_library_does():
         assert coder.encode(text)[0].tolist() == own.encode_ordinary(text), hex(low)
 
 
+def test_plain_classes_cut_like_the_public_pattern():
+    import regex
+
+    public = regex.compile(public_tokenizers.PATTERN)
+    plain, differs = bpe.plain_pattern(public_tokenizers.PATTERN)
+    left = 0
+    for c in range(0x110000):
+        text = f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)}  {chr(c)}'s_{chr(c)}"
+        if not bpe._is_plain(text, differs):
+            left += 1
+        else:
+            assert plain.findall(text) == public.findall(text), hex(c)
+    assert bpe.plain_pattern("other") is None and left == differs.sum()
+    for text in made_texts(random.Random(8), 500):
+        assert not bpe._is_plain(text, differs) or plain.findall(text) == public.findall(text)
+
+
 def test_every_prefix_has_the_last_token_of_its_own_encoding():
     coder, own = bpe.load(FILES[0]), library(FILES[0])
     for piece in ["internationalisation", "Überraschungen", "aaaaaaaaaaaaaaa", "мираж漢字"]:

@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +42,7 @@ PIECES, BATCH_BYTES, KEPT_BYTES = 65_536, 4 << 20, 96 << 20
 #: Longer pieces are not kept.
 KEPT_PIECE = 64
 #: Pairs of neighbours whose fit is kept.
-KEPT_PAIRS = 1 << 18
+KEPT_PAIRS = 1 << 19
 
 
 class Ranks:
@@ -116,18 +118,23 @@ class Ranks:
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of a byte string, from the last tokens of all its prefixes."""
+        # of the prefix that ends in each byte; -1 is nothing, also before the first byte
         last, size, known, fit, count = [-1] * (len(data) + 1), self.size, self._pairs.get, self.fit, len(self.token)
         for end, token in self.ends.iter(data.decode("latin-1")):
-            end += 1
             if last[end] < 0:
-                start = end - size[token]
-                if not start:
+                before = last[end - size[token]]
+                if before < 0:
                     last[end] = token
                 else:
-                    fits = known(last[start] * count + token)
-                    if fits or (fits is None and fit(last[start], token)):
+                    fits = known(before * count + token)
+                    if fits or (fits is None and fit(before, token)):
                         last[end] = token
-        return self.walk(last)
+        out, at = [], len(data) - 1
+        while at >= 0:
+            out.append(last[at])
+            at -= size[out[-1]]
+        out.reverse()
+        return out
 
     def walk(self, last: list[int] | array) -> list[int]:
         """The ids of the longest prefix, from the back."""
@@ -185,13 +192,36 @@ class Prefixes:
         return self.ranks.walk(self.last)
 
 
+#: The public pattern, and the same with Python's own classes, which are faster.
+_PUBLIC = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PLAIN = r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
+
+
+@lru_cache(maxsize=1)
+def plain_pattern(pattern: str) -> tuple[re.Pattern, np.ndarray] | None:
+    """A pattern that cuts like ``pattern`` every text without the code points that are marked.
+
+    Python's classes differ by numbers that are no digits, by four separators that
+    are blanks to it alone, and may by characters that its tables do not know.
+    """
+    if pattern != _PUBLIC:
+        return None
+    differs = np.array([unicodedata.category(chr(c)) in ("Nl", "No", "Cn", "Cs") for c in range(0x110000)])
+    differs[0x1C:0x20] = True
+    return re.compile(_PLAIN), differs
+
+
+def _is_plain(text: str, differs: np.ndarray) -> bool:
+    return not differs[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
+
+
 class Coder:
     """Texts to ids and back: pieces by ``pattern``, each encoded by its prefixes."""
 
     def __init__(self, ranks: Ranks, pattern: str) -> None:
         import regex
 
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern, self.plain = ranks, regex.compile(pattern), plain_pattern(pattern)
         # codes (32-bit ids) of pieces met lately, and those of the time before, which stay if they are met again
         self._codes: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
@@ -209,12 +239,16 @@ class Coder:
         return code
 
     def codes(self, pieces: list[str]) -> list[bytes]:
-        known = list(map(self._codes.get, pieces))
-        return [self._new(p) if code is None else code for p, code in zip(pieces, known)] if None in known else known
+        known, at = list(map(self._codes.get, pieces)), -1
+        for _ in range(known.count(None)):
+            at = known.index(None, at + 1)
+            known[at] = self._new(pieces[at])
+        return known
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= PIECES:
-            yield self.pattern.findall(text)
+            plain = self.plain and _is_plain(text, self.plain[1])
+            yield (self.plain[0] if plain else self.pattern).findall(text)
             return
         matches = map(itemgetter(0), self.pattern.finditer(text))
         while some := list(islice(matches, PIECES)):
