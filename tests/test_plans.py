@@ -239,3 +239,27 @@ def test_materialize_uses_the_sessions_folder(spark):
     assert all(str(local) in f for f in stored.inputFiles())
     plans.drop_materialized(spark)
     assert not local.exists()
+
+
+def test_a_wide_group_meets_by_label(spark):
+    """Across the blocks of a wide group sums by label are joined, so far fewer rows meet than there are item pairs."""
+    from tillsight.plans import pairs
+
+    rng = random.Random(4)
+    items, of = list(range(3000)), {i: rng.choice([None, 1, 2, 5]) for i in range(3000)}
+    rng.shuffle(items)
+    made = [("wide", i, i % 3 + 1, of[i]) for i in items] + [("thin", i, 1, of[i]) for i in items[:5]]
+    lines = spark.createDataFrame(made, "_group string, _item long, _lines long, _label long")
+    counts = {(r["label_a"], r["label_b"]): r["times"] for r in pairs.pair_counts(lines, block=16).collect()}
+    wanted, before = Counter(), Counter()
+    for i in sorted(items):
+        for label, n in before.items():
+            wanted[label, of[i]] += n * (i % 3 + 1)
+        before[of[i]] += i % 3 + 1
+    for a, b in itertools.combinations(sorted(items[:5]), 2):
+        wanted[of[a], of[b]] += 1
+    assert counts == dict(wanted)
+
+    cut = pairs._blocks(lines.where("_group = 'wide'"), 16, 3000)
+    met = pairs._far_pairs(cut, None).count() + pairs._near_pairs(cut, ["_group", "_block"], 0, None).count()
+    assert met < 3000 * 16 < 3000 * 2999 / 2 / 90
