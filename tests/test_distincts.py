@@ -96,3 +96,16 @@ def test_a_hot_key_is_spread_without_adaptive_execution(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def shuffles(df):
+    """Shuffles that deal pairs, and those read again, in the plan as executed."""
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [sum("REPARTITION_BY_NUM" in line and ("ReusedExchange" in line) == again for line in final.splitlines()) for again in (False, True)]
+
+
+@pytest.mark.parametrize("name", ["report_customers", "report_products"])
+def test_the_look_up_reads_the_same_shuffle(spark, sf_dir, name):
+    """Measures too: a second shuffle of all pairs without them would be another plan."""
+    assert shuffles(queries()[name](spark, sf_dir)) == [1, 1]

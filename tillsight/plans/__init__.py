@@ -1,6 +1,6 @@
 """Plan shapes that keep the operators distributed whatever the key distribution."""
 
-from tillsight.plans.distincts import distinct_by_group
+from tillsight.plans.distincts import distinct_by_group, distinct_count_by
 from tillsight.plans.eager import counts_by_key, roll_up
 from tillsight.plans.materialize import drop_materialized, materialize, new_path
 from tillsight.plans.pairs import distinct_lines, pair_counts, top_label_pairs
@@ -11,6 +11,7 @@ __all__ = [
     "counts_by_key",
     "dense_rank_top",
     "distinct_by_group",
+    "distinct_count_by",
     "distinct_lines",
     "drop_materialized",
     "exact_tiles",
