@@ -109,3 +109,16 @@ def shuffles(df):
 def test_the_look_up_reads_the_same_shuffle(spark, sf_dir, name):
     """Measures too: a second shuffle of all pairs without them would be another plan."""
     assert shuffles(queries()[name](spark, sf_dir)) == [1, 1]
+
+
+def test_pairs_are_not_folded_before_their_shuffle(spark, sf_dir):
+    from tillsight.operators import kpi
+    from tillsight.sources import bench_tables
+
+    lines = spark.createDataFrame([("p", 1), ("p", 1), ("p", 2), ("p", None), (None, 2), ("q", None)], "pizza_name string, order_id long")
+    assert {tuple(r) for r in kpi.top_by_orders(lines).collect()} == {("p", 2), (None, 1), ("q", 0)}
+    assert [tuple(r) for r in kpi.top_by_orders(lines, 1, ascending=True).collect()] == [("q", 0)]
+    top = kpi.top_by_orders(bench_tables.pizza_sales(spark, sf_dir))
+    steps = top._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(steps) if "REPARTITION_BY_NUM" in line)
+    assert not any("Aggregate" in line for line in steps[dealt:])

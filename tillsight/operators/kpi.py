@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillsight.functions import month_name, ratio, weekday_name, weekday_number
 from tillsight.operators.exploration import revenue_share
 from tillsight.operators.ranking import top_n
-from tillsight.plans import share_of_total
+from tillsight.plans import distinct_count_by, first_n, share_of_total
 
 
 def _revenue() -> Column:
@@ -105,4 +105,5 @@ def top_by_quantity(lines: DataFrame, n: int = 5, ascending: bool = False) -> Da
 
 
 def top_by_orders(lines: DataFrame, n: int = 5, ascending: bool = False) -> DataFrame:
-    return top_n(lines, "pizza_name", _orders(), "total_order", n, ascending)
+    orders = distinct_count_by(lines, "pizza_name", "order_id", "total_order")
+    return first_n(orders, "total_order", n, ["pizza_name"], ascending)
