@@ -122,3 +122,8 @@ def test_pairs_are_not_folded_before_their_shuffle(spark, sf_dir):
     steps = top._jdf.queryExecution().executedPlan().toString().splitlines()
     dealt = next(i for i, line in enumerate(steps) if "REPARTITION_BY_NUM" in line)
     assert not any("Aggregate" in line for line in steps[dealt:])
+
+
+def test_the_sketch_profile_joins_lines_and_orders_once(spark, sf_dir):
+    text = queries()["sketch_profile"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in text and "o_orderkey" not in text
