@@ -57,11 +57,13 @@ def running_and_moving(fact: DataFrame, grain: str = "month", window: int = 3) -
 
 
 def running_by_line(fact: DataFrame, window: int = 3) -> DataFrame:
-    """Running total and moving mean over dated order lines, by date, order, product and the rest of the line."""
+    """Running total and moving mean over dated order lines, by date, order, product and the rest of the line, NULLs last."""
     lines = fact.filter(F.col("order_date").isNotNull()).select(
         "order_date", "order_number", "product_key", "customer_key", "quantity", "sales_amount"
     )
-    return running_over_rows(lines, lines.columns, "sales_amount", "running_total_sales", f"moving_avg_{window}", window)
+    return running_over_rows(
+        lines, lines.columns, "sales_amount", "running_total_sales", f"moving_avg_{window}", window, nulls_last=True
+    )
 
 
 def running_by_customer_day(fact: DataFrame, window: int = 3) -> DataFrame:
